@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusops.llm import neardup, overlap
+from corpusops.llm import forms, leak, neardup, overlap
 from corpusops.runtime import table
 
 
@@ -29,6 +29,27 @@ def p4_groups(spark, sf_dir):
     return groups.withColumnRenamed("id", "row_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_groups)}
+def p6_found(spark, sf_dir):
+    found = leak.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "question")
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def p6_report(spark, sf_dir):
+    items = table(spark, sf_dir, "eval_items")
+    found = leak.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "question")
+    return leak.leak_report(found, items, "item_id", "suite")
+
+
+def p7_found(spark, sf_dir):
+    pairs = forms.look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p7_forms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_groups, p6_found, p6_report, p7_found, p7_forms)}
 
 ORACLE: dict[str, str] = {}
