@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusops.llm import forms, leak, neardup, overlap
+from corpusops.llm import forms, leak, neardup, overlap, packing
 from corpusops.runtime import table
 
 
@@ -29,6 +29,16 @@ def p4_groups(spark, sf_dir):
     return groups.withColumnRenamed("id", "row_id")
 
 
+def p5_containers(spark, sf_dir):
+    sizes = packing.document_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, table(spark, sf_dir, "pack_profiles"))[0]
+
+
+def p5_report(spark, sf_dir):
+    sizes = packing.document_sizes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(sizes, table(spark, sf_dir, "pack_profiles"))[1]
+
+
 def p6_found(spark, sf_dir):
     found = leak.leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "question")
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
@@ -50,6 +60,6 @@ def p7_forms(spark, sf_dir):
     return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_groups, p6_found, p6_report, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
 
 ORACLE: dict[str, str] = {}
