@@ -260,6 +260,23 @@ def pieces(texts: pa.Array):
         begin = end
 
 
+def fold_all(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts in their consistent form, with n+1 offsets."""
+    if not len(raw):
+        return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+    cps, coff = code_points(raw, off)
+    rows, out, ooff = fold(cps, coff)
+    if not len(rows):
+        return cps, coff
+    kept = np.split(cps, np.stack([coff[rows], coff[rows + 1]], 1).reshape(-1))
+    new = [kept[0]]
+    for i in range(len(rows)):
+        new += [out[ooff[i] : ooff[i + 1]], kept[2 * i + 2]]
+    size = np.diff(coff)
+    size[rows] = np.diff(ooff)
+    return np.concatenate(new), np.concatenate([[0], np.cumsum(size)])
+
+
 def consistent_forms(texts: pa.Array) -> pa.Array:
     """The consistent form of each text that differs from it; null for the others and for nulls."""
     whole = texts.is_valid().to_numpy(zero_copy_only=False)

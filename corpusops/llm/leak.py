@@ -32,35 +32,26 @@ ITEMS = 4_000
 
 def word_stream(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes, n+1 offsets) of pieces of an array of texts without nulls."""
+    for begin, _, raw, off in forms.pieces(texts):
+        cps, coff = forms.fold_all(raw, off)
+        yield begin, *words_of(cps, coff)[:2]
+
+
+def words_of(cps: np.ndarray, coff: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (never 0), n+1 offsets of the texts into them, and where each word starts and ends."""
     t = forms.tables()
-    for begin, end, raw, off in forms.pieces(texts):
-        if not len(raw):
-            yield begin, np.zeros(0, np.uint64), np.zeros(end - begin + 1, np.int64)
-            continue
-        cps, coff = forms.code_points(raw, off)
-        rows, out, ooff = forms.fold(cps, coff)
-        if len(rows):  # put the folded rows in place of the others
-            cuts = np.stack([coff[rows], coff[rows + 1]], 1).reshape(-1)
-            kept = np.split(cps, cuts)
-            new = [kept[0]]
-            for i in range(len(rows)):
-                new += [out[ooff[i] : ooff[i + 1]], kept[2 * i + 2]]
-            size = np.diff(coff)
-            size[rows] = np.diff(ooff)
-            cps, coff = np.concatenate(new), np.concatenate([[0], np.cumsum(size)])
-        word = t.alnum[cps]
-        at = np.flatnonzero(word)
-        if not len(at):
-            yield begin, np.zeros(0, np.uint64), np.zeros(end - begin + 1, np.int64)
-            continue
-        row_start = np.zeros(len(cps) + 1, bool)
-        row_start[coff] = True
-        head = np.ones(len(at), bool)
-        head[1:] = (at[1:] != at[:-1] + 1) | row_start[at[1:]]
-        starts = np.flatnonzero(head)
-        with np.errstate(over="ignore"):
-            symbols = t.lower[cps[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD6E8FEB86659FD93)
-        yield begin, W.span_hashes(symbols, starts, np.concatenate([starts[1:], [len(at)]])) | np.uint64(1), np.searchsorted(at[starts], coff)
+    at = np.flatnonzero(t.alnum[cps])
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(coff), np.int64), at, at
+    row_start = np.zeros(len(cps) + 1, bool)
+    row_start[coff] = True
+    head = np.ones(len(at), bool)
+    head[1:] = (at[1:] != at[:-1] + 1) | row_start[at[1:]]
+    starts = np.flatnonzero(head)
+    ends = np.concatenate([starts[1:], [len(at)]])
+    with np.errstate(over="ignore"):
+        symbols = t.lower[cps[at]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(0xD6E8FEB86659FD93)
+    return W.span_hashes(symbols, starts, ends) | np.uint64(1), np.searchsorted(at[starts], coff), at[starts], at[ends - 1] + 1
 
 
 class Patterns:

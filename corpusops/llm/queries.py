@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusops.llm import forms, leak, neardup, overlap, packing
+from corpusops.llm import forms, leak, mixing, neardup, overlap, packing
 from corpusops.runtime import table
 
 
@@ -19,6 +19,19 @@ def p1_report(spark, sf_dir):
     return overlap.overlap_report(df, pairs, "final_id", "split", "source")
 
 
+def _mixed(spark, sf_dir):
+    rows = mixing.sized_rows(table(spark, sf_dir, "final_rows"), "final_id", "source", "source_subtype", "condition_input_ids", "input_ids")
+    return mixing.mix(rows, table(spark, sf_dir, "mix_targets"))
+
+
+def p2_mix(spark, sf_dir):
+    return _mixed(spark, sf_dir)[0].withColumnRenamed("id", "final_id")
+
+
+def p2_shares(spark, sf_dir):
+    return _mixed(spark, sf_dir)[1]
+
+
 def p4_found(spark, sf_dir):
     pairs = neardup.near_duplicate_pairs(table(spark, sf_dir, "prepared_rows"), "row_id", "question_key")
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -60,6 +73,6 @@ def p7_forms(spark, sf_dir):
     return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_mix, p2_shares, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
 
 ORACLE: dict[str, str] = {}
