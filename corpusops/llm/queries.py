@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusops.llm import forms, leak, mixing, neardup, overlap, packing
+from corpusops.llm import answers, forms, leak, mixing, neardup, overlap, packing
 from corpusops.runtime import table
 
 
@@ -32,6 +32,20 @@ def p2_shares(spark, sf_dir):
     return _mixed(spark, sf_dir)[1]
 
 
+def _judged(spark, sf_dir):
+    return answers.defective_pairs(table(spark, sf_dir, "prepared_rows").where("filter_reason = ''"), "row_id", "input", "target", "gold_answer")
+
+
+def p3_found(spark, sf_dir):
+    return _judged(spark, sf_dir).withColumnRenamed("id", "row_id")
+
+
+def p3_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "prepared_rows").where("filter_reason = ''").select(F.col("row_id").alias("id"), mixing.label(F.col("source")).alias("source"))
+    judged = rows.join(_judged(spark, sf_dir), "id", "left")
+    return judged.groupBy("source", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("rows"))
+
+
 def p4_found(spark, sf_dir):
     pairs = neardup.near_duplicate_pairs(table(spark, sf_dir, "prepared_rows"), "row_id", "question_key")
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -73,6 +87,6 @@ def p7_forms(spark, sf_dir):
     return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_mix, p2_shares, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
 
 ORACLE: dict[str, str] = {}
