@@ -1,4 +1,25 @@
 """Registered queries of the core operators and their DuckDB counterparts."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from corpusops.runtime import table
+
+QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers fn(spark, t) under its name; ``t(name)`` loads a table of the run."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = lambda spark, sf_dir: fn(spark, lambda name: table(spark, sf_dir, name))
+        if sql:
+            ORACLE[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+from corpusops.plans import arrays, corpus, evaluation, texts  # noqa: E402, F401  (they register on import)
