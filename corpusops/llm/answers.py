@@ -347,12 +347,16 @@ def defective_pairs(df: DataFrame, id_col: str, prompt_col: str, target_col: str
     """(id, defect) of every row whose target is defective: empty, truncated, refusal, copied_question or other_language.
 
     A null target is empty. A null prompt or answer leaves the tests without the features that need it. The field is
-    fitted on the driver from at most ``train_rows`` rows, those with the least hash of their id; all rows are tagged. Rows
+    fitted on the driver from at most ``train_rows`` rows, chosen by the hash of their id; all rows are tagged. Rows
     without an id take no part; an empty table gives an empty result.
     """
     question = F.coalesce(T.question_of(F.col(prompt_col)), F.col(prompt_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), question.alias("q"), F.coalesce(F.col(target_col), F.lit("")).alias("t"), F.coalesce(F.col(answer_col), F.lit("")).alias("a")).where("id is not null")
-    sample = rows.where("t <> ''").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("q", "t", "a").collect()
+    full = rows.where("t <> ''")
+    n = full.count()
+    if n > 2 * train_rows:  # only about so many rows come into question; no task sends more than its part of them
+        full = full.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < int(2_000_000 * train_rows / n))
+    sample = full.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("q", "t", "a").collect()
     reader, model = fit([tuple(r) for r in sample])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
