@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusops.functions import answers as A
 from corpusops.functions import text as T
+from corpusops.functions.tokens import pair_tokens
 from corpusops.plans.registry import query
 
 WS = r"[\s\x{0b}\x{85}\p{Z}]+"
@@ -141,3 +142,10 @@ FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ' ' || chr(CAST(65 + event_
 def choice_letters(spark, t):
     v = F.expr("CASE event_id % 4 WHEN 0 THEN ' ' || chr(65 + event_id % 5) || ' ' WHEN 1 THEN 'because' || chr(10) || 'Final answer: ' || chr(65 + event_id % 4) WHEN 2 THEN 'b' ELSE event_type END")
     return t("events").select("event_id", A.choice_letter(v).alias("letter"), A.rationale_choice(v, True).alias("exact"))
+
+
+@query()
+def tokenize_pairs(spark, t):
+    """Sizes of prompt and response in a public vocabulary, and whether they join without a token across the border."""
+    r = pair_tokens(F.col("input"), F.col("target"))
+    return t("prepared_rows").where("filter_reason = ''").select("row_id", r.alias("r")).select("row_id", F.size("r.condition_ids").alias("condition"), F.size("r.response_ids").alias("response"), "r.consistent")
