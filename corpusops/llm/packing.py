@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusops.llm.tokens import VOCABULARY, token_count
+from corpusops.functions.tokens import VOCABULARY, token_count
 from corpusops.operators.ranking import running_total
 from corpusops.runtime import written
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusops.llm import answers, forms, leak, mixing, neardup, overlap, packing
+from corpusops.llm.oracle import ORACLE  # noqa: F401
 from corpusops.runtime import table
 
 
@@ -88,5 +89,3 @@ def p7_forms(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
-
-ORACLE: dict[str, str] = {}
