@@ -8,12 +8,9 @@ from corpusops.functions import arrays as K
 from corpusops.functions import schedules as S
 from corpusops.plans.registry import query
 
-C, I = F.col("condition_input_ids"), F.col("input_ids")
-
-
 @query("SELECT final_id, CASE WHEN len(condition_input_ids) > 256 THEN 'input_too_long' WHEN len(condition_input_ids) + len(input_ids) > 1024 THEN 'sequence_too_long' ELSE '' END AS grade_school, CASE WHEN len(condition_input_ids) > 96 THEN 'input_too_long' WHEN len(input_ids) > 64 THEN 'response_too_long' WHEN len(condition_input_ids) + len(input_ids) > 150 THEN 'sequence_too_long' ELSE '' END AS competition FROM final_rows")
 def length_filters(spark, t):
-    a, b = F.size(C), F.size(I)
+    a, b = F.size(F.col("condition_input_ids")), F.size(F.col("input_ids"))
     school = F.when(a > 256, "input_too_long").when(a + b > 1024, "sequence_too_long").otherwise("")
     competition = F.when(a > 96, "input_too_long").when(b > 64, "response_too_long").when(a + b > 150, "sequence_too_long").otherwise("")
     return t("final_rows").select("final_id", school.alias("grade_school"), competition.alias("competition"))
@@ -21,12 +18,12 @@ def length_filters(spark, t):
 
 @query("SELECT final_id, condition_input_ids[1:80] AS prompt_ids, len(condition_input_ids) > 80 AS prompt_truncated, list_concat(input_ids, list_transform(range(64), lambda x: 0))[1:64] AS padded, CAST(least(len(input_ids) + least(len(condition_input_ids), 80), 128) AS INT) AS effective FROM final_rows")
 def truncate_pad_effective(spark, t):
-    return t("final_rows").select("final_id", F.slice(C, 1, 80).alias("prompt_ids"), (F.size(C) > 80).alias("prompt_truncated"), K.pad_or_cut(I, 64, 0).alias("padded"), K.effective_length(I, C, 80, 128).alias("effective"))
+    return t("final_rows").select("final_id", F.slice(F.col("condition_input_ids"), 1, 80).alias("prompt_ids"), (F.size(F.col("condition_input_ids")) > 80).alias("prompt_truncated"), K.pad_or_cut(F.col("input_ids"), 64, 0).alias("padded"), K.effective_length(F.col("input_ids"), F.col("condition_input_ids"), 80, 128).alias("effective"))
 
 
 @query("SELECT final_id, list_concat(condition_input_ids[1:32], input_ids) AS ids, list_transform(range(1, 97), lambda i: CASE WHEN i <= least(len(condition_input_ids), 32) THEN 1 WHEN i <= least(len(condition_input_ids), 32) + len(input_ids) THEN 2 ELSE 0 END) AS mask FROM final_rows")
 def collate_rows(spark, t):
-    return t("final_rows").select("final_id", K.joined(C, I, 32).alias("ids"), K.condition_mask(F.least(F.size(C), F.lit(32)), F.least(F.size(C), F.lit(32)) + F.size(I), 96).alias("mask"))
+    return t("final_rows").select("final_id", K.joined(F.col("condition_input_ids"), F.col("input_ids"), 32).alias("ids"), K.condition_mask(F.least(F.size(F.col("condition_input_ids")), F.lit(32)), F.least(F.size(F.col("condition_input_ids")), F.lit(32)) + F.size(F.col("input_ids")), 96).alias("mask"))
 
 
 @query("""
@@ -34,24 +31,24 @@ WITH b AS (SELECT final_id, list_concat(condition_input_ids, input_ids)[len(cond
 p AS (SELECT *, coalesce(list_position(tail, 2), 0) AS pos FROM b)
 SELECT final_id, list_concat(CASE WHEN pos > 0 THEN tail[1:pos-1] ELSE tail END, list_transform(range(40), lambda x: 0))[1:40] AS ids, pos > 0 AS eos, CAST(CASE WHEN pos > 0 THEN pos ELSE len(tail) END AS INT) AS length FROM p""")
 def extract_response(spark, t):
-    r = K.extract_response(F.concat(C, I), F.size(C), 40, 2, 0)
+    r = K.extract_response(F.concat(F.col("condition_input_ids"), F.col("input_ids")), F.size(F.col("condition_input_ids")), 40, 2, 0)
     return t("final_rows").select("final_id", r.alias("r")).select("final_id", "r.ids", "r.eos", "r.length")
 
 
 @query("SELECT final_id, list_transform(input_ids, lambda x, i: CASE WHEN coalesce(list_position(input_ids, 2), 0) = 0 OR i - 1 < list_position(input_ids, 2) THEN 1 ELSE 0 END) AS mask, list_concat(input_ids[least(row_index % 7, len(input_ids))+1:], list_transform(range(least(row_index % 7, len(input_ids))), lambda x: 0)) AS shifted, list_transform(input_ids, lambda x: CASE WHEN x IN (0, 1, 2) THEN 0 ELSE 1 END) AS content FROM final_rows")
 def mask_shift_content(spark, t):
-    return t("final_rows").select("final_id", K.before_first(I, 2).alias("mask"), K.shift_left(I, F.col("row_index") % 7, 0).alias("shifted"), K.content_mask(I, [0, 1, 2]).alias("content"))
+    return t("final_rows").select("final_id", K.before_first(F.col("input_ids"), 2).alias("mask"), K.shift_left(F.col("input_ids"), F.col("row_index") % 7, 0).alias("shifted"), K.content_mask(F.col("input_ids"), [0, 1, 2]).alias("content"))
 
 
 @query("SELECT final_id, CAST(CASE WHEN len(h) = 1 THEN h[1] END AS INT) AS place FROM (SELECT final_id, list_filter(range(1, len(input_ids) - 1), lambda i: input_ids[i:i+2] = input_ids[2:4]) AS h FROM final_rows WHERE len(input_ids) >= 4)")
 def unique_subsequence(spark, t):
-    return t("final_rows").where(F.size(I) >= 4).select("final_id", K.find_unique(I, F.slice(I, 2, 3)).alias("place"))
+    return t("final_rows").where(F.size(F.col("input_ids")) >= 4).select("final_id", K.find_unique(F.col("input_ids"), F.slice(F.col("input_ids"), 2, 3)).alias("place"))
 
 
 @query("SELECT final_id, list_concat([7, 8], condition_input_ids, [9], input_ids, [10]) AS chat, CAST(3 + len(condition_input_ids) + 1 AS INT) AS response_at FROM final_rows")
 def chat_scaffold(spark, t):
     fixed = lambda *x: F.array(*map(F.lit, x))
-    return t("final_rows").select("final_id", F.concat(fixed(7, 8), C, fixed(9), I, fixed(10)).alias("chat"), (F.size(C) + 4).alias("response_at"))
+    return t("final_rows").select("final_id", F.concat(fixed(7, 8), F.col("condition_input_ids"), fixed(9), F.col("input_ids"), fixed(10)).alias("chat"), (F.size(F.col("condition_input_ids")) + 4).alias("response_at"))
 
 
 def _mask_sql(cell: str) -> str:

@@ -30,9 +30,8 @@ def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of an append log; the last line of a file may be cut off, any other malformed line raises an error."""
     lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("all"))
     each = lines.select("file", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n"), F.posexplode(F.filter("all", lambda x: F.trim(x) != "")).alias("i", "value"))
-    parsed = each.select("n", "i", F.try_parse_json("value").isNotNull().alias("ok"), F.from_json("value", schema).alias("row"))
-    last = F.col("i") == F.col("n") - 1
-    return parsed.where(F.col("ok") | ~last).withColumn("row", F.when(F.col("ok"), F.col("row")).otherwise(F.raise_error(F.lit("malformed line before the end of the log")))).select("row.*")
+    whole = each.where(F.try_parse_json("value").isNotNull() | (F.col("i") < F.col("n") - 1))
+    return whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
 
 
 def write_new(df: DataFrame, path: str, kind: str = "parquet") -> None:
