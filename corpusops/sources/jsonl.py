@@ -22,13 +22,13 @@ def read_positions(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
     Lines are numbered file by file, so a log of many shards is read in parallel.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return lines.where(F.trim("value") != "").select("file", "line_no", F.from_json("value", schema).alias("row"))
 
 
 def read_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of an append log; the last line of a file may be cut off, any other malformed line raises an error."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("all"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("all"))
     each = lines.select("file", F.size(F.filter("all", lambda x: F.trim(x) != "")).alias("n"), F.posexplode(F.filter("all", lambda x: F.trim(x) != "")).alias("i", "value"))
     whole = each.where(F.try_parse_json("value").isNotNull() | (F.col("i") < F.col("n") - 1))
     return whole.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row")).select("row.*")
