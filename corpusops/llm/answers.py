@@ -321,10 +321,18 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 11) -> tuple[Reader, crf.M
             made.append((question, text.strip(), answer, REFUSAL, False))
         else:
             others = [x for x in by_lang if x != lang[i] and x >= 0]
-            if others and lang[i] >= 0:
+            if lang[i] >= 0 and (not others or rng.random() < 0.3):  # languages that the sample does not hold
+                pool = FUNCTION_WORDS[plain.languages[(int(lang[i]) + 1 + int(rng.integers(0, len(FUNCTION_WORDS) - 1))) % len(FUNCTION_WORDS)]].split()
+                text = ". ".join(" ".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(5, 12))) + f" {rng.integers(2, 999)}" for _ in range(rng.integers(1, 4)))
+                made.append((question, f"{text} {answer}.", answer, FOREIGN, False))
+            elif others and lang[i] >= 0:
                 pool = by_lang[others[rng.integers(0, len(others))]]
                 j = pool[rng.integers(0, len(pool))]
                 made.append((question, body[j], rows[j][2], FOREIGN, False))
+    known = set(good)
+    for i in np.flatnonzero((told >= 0) & (lang >= 0) & (told != lang) & (f["last_number"] != 0)):
+        if i < len(rows) and i not in known:
+            made.append((*rows[i], FOREIGN, False))
     silent = np.flatnonzero((f["last_number"] == 0) & (f["body_words"] > 3))
     for i in silent:
         if i < len(rows):

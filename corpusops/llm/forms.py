@@ -98,9 +98,11 @@ class Tables:
         self.flat = np.array([x for e in changed.values() for x in e], np.uint32)
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_to = np.array([pairs[k] for k in sorted(pairs)], np.uint32)
-        # A row is worked on if it holds a mark, a jamo, a carriage return or a character that does not come back as itself.
+        # A row is worked on if it holds a mark, a jamo, a carriage return, a letter of a script with look-alikes, or a
+        # character that does not come back as itself.
         self.concern = self.ccc > 0
         self.concern[[13, *range(0x1100, 0x1200)]] = True
+        self.concern |= self.script > 0  # words of other scripts may hold Latin letters
         for cp, e in changed.items():
             if unicodedata.normalize("NFC", "".join(map(chr, e))) != chr(cp):
                 self.concern[cp] = True
