@@ -333,6 +333,9 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     several = rows.groupBy("form").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("form")
     varied = rows.join(several, "form")
+    # variants are paired before their rows, so the copies of one string never meet each other
+    kinds = varied.select("form", "own").distinct()
+    pairs = kinds.withColumnRenamed("own", "own_a").join(kinds.withColumnRenamed("own", "own_b"), "form").where("own_a <> own_b")
     left = varied.select("form", F.col("id").alias("id_a"), F.col("own").alias("own_a"))
     right = varied.select("form", F.col("id").alias("id_b"), F.col("own").alias("own_b"))
-    return left.join(right, "form").where("id_a < id_b and own_a <> own_b").select("id_a", "id_b")
+    return pairs.join(left, ["form", "own_a"]).join(right, ["form", "own_b"]).where("id_a < id_b").select("id_a", "id_b")

@@ -122,17 +122,6 @@ def positions_in_runs(starts: np.ndarray, ends: np.ndarray, kind: type = np.int6
     return out
 
 
-def products(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of the products of run a[i] with run b[i]."""
-    na, nb = a_end - a_start, b_end - b_start
-    n = na * nb
-    if not len(n) or not n.sum():
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    which = np.repeat(np.arange(len(n)), n)
-    k = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-    return a_start[which] + k // nb[which], b_start[which] + k % nb[which]
-
-
 def multiset_overlap(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words shared by each pair of keys, counted with repeats, and the word counts of both sides."""
     a, ao = word_hashes(left)
