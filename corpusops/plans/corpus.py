@@ -188,6 +188,17 @@ def contamination_matches(spark, t):
     return S.contamination_matches(t("prepared_rows"), "question_key", _references(t), "key", 0.85).select("candidate", "reference", "reason")
 
 
+_LINES = r"SELECT DISTINCT array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+
+
+@query("WITH " + _MATCH.replace("SELECT DISTINCT question_key AS key FROM prepared_rows WHERE question_key <> ''", f"SELECT key FROM ({_LINES}) WHERE key <> ''") + " SELECT * FROM m")
+def contamination_document_lines(spark, t):
+    """Lines of documents that match a benchmark question; whole documents hardly ever reach a Jaccard threshold."""
+    lines = t("documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
+    keys = lines.select(F.array_join(F.regexp_extract_all(F.lower("line"), F.lit(T.KEY_WORD), F.lit(0)), " ").alias("key"))
+    return S.contamination_matches(keys, "key", _references(t), "key", 0.85).select("candidate", "reference", "reason")
+
+
 @query(f"WITH {_MATCH} SELECT m.candidate, m.reference, m.reason, count(p.row_id) AS affected_rows FROM m LEFT JOIN prepared_rows p ON p.question_key = m.candidate GROUP BY ALL")
 def contamination_enriched(spark, t):
     m = S.contamination_matches(t("prepared_rows"), "question_key", _references(t), "key", 0.85).select("candidate", "reference", "reason")
