@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from corpusops.llm import words as W
+from corpusops.runtime import written
 
 # Letters that readers cannot tell from a Latin one.
 CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУԚԜасеһіјорѕхуԁԛԝѵ", "ABCEHIJKMOPSTXYQWacehijopsxydqwv"))
@@ -325,7 +326,7 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Only digests are shuffled. Equal strings are one variant, and forms with a single variant are left out before any
     join, so a group of copies of any size costs one row a partition. Null ids and null texts take no part.
     """
-    rows = (
+    rows = written(
         df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
         .where(F.col("id").isNotNull() & F.col("t").isNotNull())
         .withColumn("f", consistent_form(F.col("t")))
