@@ -1,16 +1,16 @@
 """Problem 1: records shared, exactly or almost, between a training split and evaluation splits.
 
-Method. The distinct texts form one collection whose sparse suffix array is built in partitions: suffixes start at
-minimizer positions (the least of every ``ANCHOR_WINDOW`` windows of five words), so every span of
-``ANCHOR_WINDOW + 4`` shared words has a common start; texts under ``LONG_TEXT`` words start one at every word. A suffix goes to the partition of its first five words; there the
-suffixes are sorted by their next words. In a run of suffixes that share a prefix, the cross-split neighbours are
-linked; a run with more than ``RUN_PRODUCT`` links is boilerplate and is split at a longer common prefix (10, then 20
-words, where all are linked whatever their number). Linked spans are merged into the words of the evaluation record that
-they cover; a pair whose covered words reach a small share is verified by the exact multiset similarity.
-
-Prefixes that are frequent everywhere (``HOT_SHARE`` of the texts) are routed by their first ten words, which spreads
-them over partitions. Which prefixes those are is read from a hash sample of the texts; it decides on placement alone,
-since such a run would be split at ten words in any case.
+Method. An exact set-similarity join of the distinct texts, whatever the order of their words. The elements of a text are
+its words numbered by their repeats; all texts order them alike, rare ones first. With d(a, b) = (1 - s) / (1 + s) * (a + b),
+two texts of a and b elements and at least the similarity s differ in d(a, b) elements at most. So they share an element,
+and the first one that they share has at most d(a, b) elements before it in both texts together; and the two lengths differ by
+the factor s at most. Therefore only the first (1 - s) * n + 1 elements of each text are emitted, to the partition of the
+element and the length class; there the held-out texts meet the training texts within that bound of positions, which one
+sort by position less the text's part of d gives. What is left is thinned by a sketch of ``SKETCH`` parities, which differ
+in d(a, b) bits at most, and verified by the exact multiset similarity. No step leaves out a pair of the similarity asked.
+
+How often a word occurs is read from a hash sample of the texts, for the words that are more than 1 / ``RANKED`` of it; this
+decides on the order of the elements, thus on the work, and never on the result.
 """
 
 from __future__ import annotations
@@ -27,117 +27,122 @@ from corpusops.functions import text as T
 from corpusops.llm import words as W
 from corpusops.runtime import written
 
-WORDS = 5
-ANCHOR_WINDOW = 6
-RUN_PRODUCT = 64
-#: Texts of fewer words than this start suffixes at every word: a few changes leave them no span of ANCHOR_WINDOW + 4 words.
-LONG_TEXT = 60
-#: Texts of fewer words than this also start suffixes at every word, with a common prefix of two words.
-SHORT_TEXT = 22
+SKETCH = 128
 BLOCK_PAIRS = 1_000_000
-SAMPLE_ONE_IN = 64
-HOT_SHARE = 0.002
-HOT_LEAST = 40
+SAMPLE_ONE_IN = 8
+#: Words are ranked by frequency down to this part of all words, so these are fewer than RANKED words.
+RANKED = 262_144
 TRAIN, HELD_OUT = 1, 2
+#: Roundings of floats must not lose a pair that lies on a bound.
+SLACK = 1e-6
 
-_ANCHOR = pa.schema([("route", pa.int64()), ("deep", pa.int64()), ("rep", pa.int64()), ("place", pa.int64())])
-_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("span", pa.int64())])
+_ELEMENT = pa.schema([("route", pa.int64()), ("rep", pa.int64()), ("s0", pa.int64()), ("s1", pa.int64()), ("place", pa.int64())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _suffixes(keys: pa.Array) -> tuple[np.ndarray, ...]:
-    """Text number, word position, hashes of the first 5, 10 and 20 words of every suffix kept (2, 5 and 10 in short texts), and which are of short texts."""
+def _class_starts() -> np.ndarray:
+    """Least lengths of the length classes, each a third longer than the one before."""
+    out = [1]
+    while out[-1] < 2**31:
+        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
+    return np.array(out)
+
+
+_STARTS = _class_starts()
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_STARTS, n, "right")
+
+
+def _elements(keys: pa.Array, ranked: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of every element: its text, hash and position in the common order; the length of every text and its sketch."""
     h, off = W.word_hashes(keys)
     n = np.diff(off)
-    gap = 4 * WORDS
     doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(h)) - np.repeat(off[:-1], n)
-    wide = np.zeros(len(h) + gap * len(n), np.uint64)  # texts kept apart by zeros, which end a shorter suffix
-    at = np.arange(len(h)) + gap * doc
-    wide[at] = h
-    bounds = np.array([0, len(wide)])
-    g2, g5, g10, g20 = (W.windows(wide, bounds, k)[0][at] for k in (2, WORDS, 2 * WORDS, 4 * WORDS))
-    left = n[doc] - place
-    # a suffix that ends before a depth shares it with no other
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)])
-    alone = W.mix(W.mix(total[off[1:]] - total[off[:-1]])[doc] + place.astype(np.uint64))
-    g5d, g10, g20 = (np.where(left >= k, g, alone) for k, g in ((WORDS, g5), (2 * WORDS, g10), (4 * WORDS, g20)))
-    inside = left >= WORDS
-    kept = np.flatnonzero(W.minimizers(g5, inside, ANCHOR_WINDOW) | (inside & (n[doc] < LONG_TEXT)))
-    short = np.flatnonzero((n[doc] < SHORT_TEXT) & (left >= 2))
-    pick = np.concatenate([kept, short])
-    first = np.concatenate([g5[kept], W.mix(g2[short] + np.uint64(2))])
-    second, third = np.concatenate([g10[kept], g5d[short]]), np.concatenate([g20[kept], g10[short]])
-    return doc[pick], place[pick], first, second, third, np.arange(len(pick)) >= len(kept)
-
-
-def _emit(hot: np.ndarray):
+    h = h[np.lexsort((h, doc))]
+    new = np.ones(len(h), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
+    start, end = W.runs(np.cumsum(new))
+    repeat = np.arange(len(h)) - np.repeat(start, end - start) + 1
+    element = W.mix(h + repeat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    often = np.zeros(len(h), np.int64)
+    if len(ranked):
+        at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+        often = np.where(ranked[at] == h, counts[at], 0) // repeat**2
+    element = element[np.lexsort((element, often, doc))]
+    odd = np.bincount(doc * SKETCH + (element >> np.uint64(57)).astype(np.int64), minlength=len(n) * SKETCH) & 1
+    sketch = np.packbits(odd.astype(np.uint8).reshape(len(n), SKETCH), axis=1).view(np.int64)
+    return doc, element, np.arange(len(h)) - np.repeat(off[:-1], n), n, sketch
+
+
+def _emit(ranked: np.ndarray, counts: np.ndarray, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            doc, place, first, second, third, short = _suffixes(batch.column("key"))
-            often = np.isin(first, hot)
-            route = np.where(often, W.mix(second ^ np.uint64(0x5F5F)), first)
-            deep = (second >> np.uint64(32) << np.uint64(32)) | (third >> np.uint64(32))
-            rep = batch.column("rep").to_numpy(zero_copy_only=False)[doc]
-            side = batch.column("side").to_numpy(zero_copy_only=False)[doc]
-            packed = place.astype(np.int64) * 16 + short * 8 + side * 2 + often
-            yield pa.record_batch([pa.array(route.view(np.int64)), pa.array(deep.view(np.int64)), pa.array(rep), pa.array(packed)], schema=_ANCHOR)
+            doc, element, place, n, sketch = _elements(batch.column("key"), ranked, counts)
+            kept = place < n[doc] - np.ceil(threshold * n[doc] - SLACK) + 1
+            doc, element, place = doc[kept], element[kept], place[kept]
+            rep, side = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "side"))
+            own = _length_class(n)
+            least, most = _length_class(np.ceil(threshold * n - SLACK)), _length_class(np.floor(n / threshold + SLACK))
+            # a training text goes to its own length class, a held-out one to all that its partners may have
+            for held, first, last in ((0, own, own), (1, least, most)):
+                of = np.flatnonzero((side[doc] & (HELD_OUT if held else TRAIN)) > 0)
+                classes = W.positions_in_runs(first[doc[of]], last[doc[of]] + 1)
+                of = np.repeat(of, (last - first + 1)[doc[of]])
+                d = doc[of]
+                route = W.mix(element[of] + classes.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+                packed = place[of] << 33 | n[d] << 1 | held
+                yield pa.record_batch([pa.array(route.view(np.int64)), pa.array(rep[d]), pa.array(sketch[d, 0]), pa.array(sketch[d, 1]), pa.array(packed)], schema=_ELEMENT)
 
     return run
 
 
-def _sample_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            yield pa.record_batch([pa.array(_suffixes(batch.column("key"))[2].view(np.int64))], ["gram"])
-
-
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the suffixes of a partition and links cross-split neighbours."""
-    got = [b for b in batches if b.num_rows]
-    if not got:
-        return
-    t = pa.Table.from_batches(got)
-    route, deep, rep, packed = (t.column(c).to_numpy() for c in ("route", "deep", "rep", "place"))
-    order = np.lexsort((deep, route))
-    route, deep, rep, packed = route[order], deep[order].view(np.uint64), rep[order], packed[order]
-    del t, got, order
-    side, often, short, place = packed >> 1 & 3, packed & 1, packed >> 3 & 1, packed >> 4
-    held, train = (side & HELD_OUT) > 0, (side & TRAIN) > 0
-    eh, et = (np.concatenate([[0], np.cumsum(x)]) for x in (held, train))
-    new = np.ones(len(route), bool)
-    new[1:] = route[1:] != route[:-1]
-    open_ = np.ones(len(route), bool)
-    depth = np.where(short, 2, WORDS), np.where(short, WORDS, 2 * WORDS), np.where(short, 2 * WORDS, 4 * WORDS)
-    words = np.where(often, depth[1], depth[0])
-    for level in (0, 32, 64):
-        if level:
-            bits = deep >> np.uint64(64 - level)
-            new = new.copy()
-            new[1:] |= bits[1:] != bits[:-1]
-            words = np.maximum(words, depth[level // 32])
-        start, end = W.runs(np.cumsum(new))
-        product = (eh[end] - eh[start]) * (et[end] - et[start])
-        use = open_[start] & (product > 0) & ((product <= RUN_PRODUCT) | (level == 64))
-        # every held-out suffix of a run with the training suffixes of that run, in blocks of pairs
-        here = W.positions_in_runs(start[use], end[use])
-        which = np.repeat(np.arange(int(use.sum())), end[use] - start[use])
-        x, y = here[held[here]], here[train[here]]
-        of_x, of_y = which[held[here]], which[train[here]]
-        first, last = np.searchsorted(of_y, of_x), np.searchsorted(of_y, of_x, "right")
+            word, n = np.unique(W.word_hashes(batch.column("key"))[0], return_counts=True)
+            yield pa.record_batch([pa.array(word.view(np.int64)), pa.array(n)], ["word", "n"])
+
+
+def _candidates(threshold: float):
+    part = (1 - threshold) / (1 + threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of a held-out and a training text of a partition that no bound excludes."""
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        route, rep, s0, s1, packed = (t.column(c).to_numpy() for c in ("route", "rep", "s0", "s1", "place"))
+        s0, s1 = s0.view(np.uint64), s1.view(np.uint64)  # bits of negative numbers are counted otherwise
+        del t, got
+        held, n = packed & 1, packed >> 1 & 0xFFFFFFFF
+        rest = (packed >> 33) - part * n  # of two texts that share an element first: not above 0 in sum
+        order = np.lexsort((held, np.where(held, SLACK - rest, rest), route))
+        route, rep, s0, s1, n, held = (x[order] for x in (route, rep, s0, s1, n, held > 0))
+        # a held-out text meets the training texts before it in its run
+        before = np.concatenate([[0], np.cumsum(~held)])
+        start, end = W.runs(route)
+        first, last = np.repeat(before[start], end - start)[held], before[:-1][held]
+        x, y = np.flatnonzero(held)[last > first], np.flatnonzero(~held)
+        first, last = first[last > first], last[last > first]
         block = np.cumsum(last - first) // BLOCK_PAIRS
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(x)]]) if len(x) else []
+        ny, r0, r1, rep_y = n[y], s0[y], s1[y], rep[y]
         for s, e in zip(cuts[:-1], cuts[1:]):
             i = np.repeat(x[s:e], last[s:e] - first[s:e])
-            j = y[W.positions_in_runs(first[s:e], last[s:e])]
-            other = rep[i] != rep[j]
-            i, j = i[other], j[other]
-            yield pa.record_batch([pa.array(rep[i]), pa.array(rep[j]), pa.array(place[i] * 64 + words[i])], schema=_LINK)
-        done = np.zeros(len(route), bool)
-        done[W.positions_in_runs(start[use], end[use])] = True
-        open_ &= ~done
-        open_[W.positions_in_runs(start[product == 0], end[product == 0])] = False
+            j = W.positions_in_runs(first[s:e], last[s:e])
+            most = part * (n[i] + ny[j]) + SLACK
+            near = np.bitwise_count(s0[i] ^ r0[j]) <= most
+            i, j, most = i[near], j[near], most[near]
+            near = np.bitwise_count(s0[i] ^ r0[j]) + np.bitwise_count(s1[i] ^ r1[j]) <= most
+            near &= (np.minimum(n[i], ny[j]) >= threshold * np.maximum(n[i], ny[j]) - SLACK) & (rep[i] != rep_y[j])
+            yield pa.record_batch([pa.array(rep[i[near]]), pa.array(rep_y[j[near]])], schema=_PAIR)
+
+    return run
 
 
 @F.arrow_udf(DoubleType())
@@ -160,7 +165,7 @@ def cross_split_links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFra
     """Links between distinct texts, and the membership of rows in them.
 
     ``rows`` has id:bigint, side (1 training, 2 held out) and key (words joined by blanks, none null).
-    Returns (links, members): links(a, b, covered, similarity) with a held-out text a and a training text b, both
+    Returns (links, members): links(a, b, similarity) with a held-out text a and a training text b, both
     named by the least id of their rows, each pair once, without pairs of a text with itself; members(rep, id, side).
     Exact copies are one text, so a group of copies of any size costs one suffix set. Empty input gives empty tables.
     """
@@ -171,34 +176,22 @@ def cross_split_links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFra
         rows.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.bit_or("side").cast("bigint").alias("side"), F.first("key").alias("key"))
     )
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    sample = texts.where(F.pmod("h1", F.lit(SAMPLE_ONE_IN)) == 0).select("key")
-    grams = sample.mapInArrow(_sample_grams, "gram bigint").groupBy("gram").count()
-    size = F.lit(sample.count() * HOT_SHARE)
-    hot_rows = grams.where(F.col("count") > F.greatest(size, F.lit(HOT_LEAST))).select("gram").collect()  # at most 1/HOT_SHARE windows of each text position
-    hot = np.array([r[0] for r in hot_rows], np.int64).view(np.uint64)
-
-    anchors = texts.select("rep", "side", "key").mapInArrow(_emit(hot), "route bigint, deep bigint, rep bigint, place bigint")
-    spans = anchors.repartition(parts, "route").mapInArrow(_links, "a bigint, b bigint, span bigint")
-    merged = F.aggregate(
-        F.array_sort(F.collect_set("span")),
-        F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end")),
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0), F.shiftright(s, 6) + F.pmod(s, F.lit(64)) - F.greatest(acc["end"], F.shiftright(s, 6)))).alias("n"),
-            F.greatest(acc["end"], F.shiftright(s, 6) + F.pmod(s, F.lit(64))).alias("end"),
-        ),
-        lambda acc: acc["n"],
-    )
-    pairs = spans.groupBy("a", "b").agg(merged.alias("covered")).where(F.col("covered") >= 2)
+    sample = texts.where(F.pmod("h1", F.lit(SAMPLE_ONE_IN)) == 0).select("key").mapInArrow(_sample_words, "word bigint, n bigint")
+    all_words = sample.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = sample.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") > F.lit(all_words / RANKED)).collect()
+    ranked, counts = np.array([r.word for r in frequent], np.int64).view(np.uint64), np.array([r.n for r in frequent], np.int64)
+    order = np.argsort(ranked)
+
+    elements = texts.select("rep", "side", "key").mapInArrow(_emit(ranked[order], counts[order], threshold), "route bigint, rep bigint, s0 bigint, s1 bigint, place bigint")
+    pairs = elements.repartition(parts, "route").mapInArrow(_candidates(threshold), "a bigint, b bigint").distinct()
     left = texts.select(F.col("rep").alias("a"), F.col("key").alias("ka"))
     right = texts.select(F.col("rep").alias("b"), F.col("key").alias("kb"))
-    n_words = lambda k: F.length(k) - F.length(F.replace(k, F.lit(" "))) + 1
     links = (
         pairs.join(left, "a")
-        .where(F.col("covered") >= F.least(F.lit(10), F.ceil(n_words(F.col("ka")) * 0.2)))
         .join(right, "b")
         .withColumn("similarity", near_same("ka", "kb"))
         .where(F.col("similarity") >= threshold)
-        .select("a", "b", "covered", "similarity")
+        .select("a", "b", "similarity")
     )
     members = rows.select("id", "side", "h1", "h2").join(texts.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id", "side")
     return links, members

@@ -86,23 +86,6 @@ def windows(hashes: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return mix(out), left >= n
 
 
-def minimizers(gram: np.ndarray, inside: np.ndarray, w: int) -> np.ndarray:
-    """Marks the least of every w consecutive windows: any w + n - 1 shared words share a marked window.
-
-    Texts with fewer than w windows mark all of theirs through the partial ranges at their ends.
-    """
-    worst = np.uint64(2**64 - 1)
-    g = np.where(inside, gram, worst)
-    picked = np.zeros(len(g), bool)
-    least = g.copy()
-    for j in range(1, w):
-        least[: len(g) - j] = np.minimum(least[: len(g) - j], g[j:])
-    for j in range(w):
-        if j < len(g):
-            picked[j:] |= g[j:] == least[: len(g) - j]
-    return picked & inside
-
-
 def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of equal values."""
     if not len(sorted_keys):

@@ -74,6 +74,23 @@ def test_cross_split_pairs_against_brute_force(spark):
     assert rows(overlap.cross_split_pairs(overlap.keyed_rows(df.limit(0), "final_id", "split", "input"))) == []
 
 
+def test_large_family_of_variants_is_paired_whole(spark):
+    """10 held-out and 40 training variants of one question, against brute force."""
+    for words, edits in ((30, 1), (41, 2), (90, 5)):
+        rng = random.Random(words)
+        base = [f"f{i}" for i in range(words)]
+        keys = set()
+        while len(keys) < 50:
+            other = list(base)
+            for k in rng.sample(range(words), edits):
+                other[k] = f"x{rng.randrange(10**6)}"
+            keys.add(" ".join(other))
+        data = [(i, 2 if i < 10 else 1, k) for i, k in enumerate(sorted(keys, key=lambda k: rng.random()))]
+        want = {(x[0], y[0]) for x in data for y in data if x[1] == 2 and y[1] == 1 and near_same(x[2], y[2]) >= 0.75}
+        found = [tuple(r) for r in overlap.cross_split_pairs(spark.createDataFrame(data, "id bigint, side bigint, key string")).collect()]
+        assert set(found) == want and len(found) == len(want) == 400
+
+
 def test_bagminhash_estimates_multiset_similarity():
     rng = random.Random(0)
     keys = []
