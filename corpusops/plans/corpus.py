@@ -195,7 +195,7 @@ _LINES = r"SELECT DISTINCT array_to_string(regexp_extract_all(lower(line), '[a-z
 def contamination_document_lines(spark, t):
     """Lines of documents that match a benchmark question; whole documents hardly ever reach a Jaccard threshold."""
     lines = t("documents").where("text is not null").select(F.explode(F.split("text", "\n")).alias("line"))
-    keys = lines.select(F.array_join(F.regexp_extract_all(F.lower("line"), F.lit(T.KEY_WORD), F.lit(0)), " ").alias("key"))
+    keys = lines.select(T.question_key(F.col("line")).alias("key"))
     return S.contamination_matches(keys, "key", _references(t), "key", 0.85).select("candidate", "reference", "reason")
 
 

@@ -14,6 +14,7 @@ from corpusops.operators import runs as R
 from corpusops.operators import similarity as S
 from corpusops.operators.graph import connected_components
 from corpusops.operators.ranking import running_total
+from corpusops.plans import registry
 from corpusops.sources import jsonl
 from corpusops.streaming import curation as stream
 from tests.conftest import rows
@@ -100,6 +101,21 @@ def test_contamination_join_is_exact(spark):
     assert rows(S.contamination_matches(frame([]), "k", frame(b), "k")) == []
 
 
+def test_document_lines_are_keyed_like_questions(spark, tmp_path):
+    """Full-width letters, ligatures and decomposed accents; the keys are written out by hand."""
+    question = "A caf\u00e9 sells five fine office chairs for 12.5 dollars each day of the week"
+    key = "a caf sells five fine office chairs for 12.5 dollars each day of the week"
+    lines = [question.replace("\u00e9", "e\u0301"), question.replace("fi", "\ufb01"), "".join(chr(ord(c) + 0xFEE0) if "a" <= c.lower() <= "z" else c for c in question), "nothing of it"]
+    spark.createDataFrame([(1, "\n".join(lines[:2])), (2, lines[2] + "\n\n" + lines[3]), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, question)], "item_id bigint, question string").write.parquet(str(tmp_path / "eval_items.parquet"))
+    got = registry.QUERIES["contamination_document_lines"](spark, str(tmp_path))
+    assert rows(got) == [(key, key, "exact")]
+    for k, line in enumerate(lines[:3]):
+        spark.createDataFrame([(1, line)], "doc_id bigint, text string").write.parquet(str(tmp_path / str(k) / "documents.parquet"))
+        spark.createDataFrame([(1, question)], "item_id bigint, question string").write.parquet(str(tmp_path / str(k) / "eval_items.parquet"))
+        assert rows(registry.QUERIES["contamination_document_lines"](spark, str(tmp_path / str(k)))) == [(key, key, "exact")]
+
+
 def test_range_lookup(spark):
     r = spark.createDataFrame([(0, 0, 3), (1, 3, 3), (2, 3, 200)], "s int, a bigint, b bigint")
     got = U.range_lookup(spark.range(0, 210), "id", r, "a", "b", 64)
