@@ -296,7 +296,8 @@ def stride_shards(spark, t):
 
 @query("SELECT e.vec_id, s.shard, e.vec_id - s.row_start AS offset_in_shard FROM embeddings e JOIN (SELECT b AS shard, b * 37 AS row_start, (b + 1) * 37 AS row_end FROM (SELECT unnest(range(0, 60)) AS b)) s ON e.vec_id >= s.row_start AND e.vec_id < s.row_end")
 def shard_range_lookup(spark, t):
-    shards = spark.range(60).select(F.col("id").alias("shard"), (F.col("id") * 37).alias("row_start"), ((F.col("id") + 1) * 37).alias("row_end"))
+    last = t("embeddings").agg(F.max("vec_id")).first()[0]
+    shards = spark.range(0 if last is None else last // 37 + 1).select(F.col("id").alias("shard"), (F.col("id") * 37).alias("row_start"), ((F.col("id") + 1) * 37).alias("row_end"))
     return U.range_lookup(t("embeddings").select("vec_id"), "vec_id", shards, "row_start", "row_end", 37).select("vec_id", "shard", (F.col("vec_id") - F.col("row_start")).alias("offset_in_shard"))
 
 

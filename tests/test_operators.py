@@ -122,6 +122,13 @@ def test_range_lookup(spark):
     assert rows(got, "id", "s") == sorted([(i, 0 if i < 3 else 2) for i in range(200)], key=str)
 
 
+def test_shards_cover_a_table_of_any_size(spark, tmp_path):
+    for n in (0, 1, 37, 38, 5000):
+        spark.range(n).withColumnRenamed("id", "vec_id").write.parquet(str(tmp_path / str(n) / "embeddings.parquet"))
+        got = registry.QUERIES["shard_range_lookup"](spark, str(tmp_path / str(n)))
+        assert rows(got) == sorted([(i, i // 37, i % 37) for i in range(n)], key=str)
+
+
 def test_sampling_and_split(spark):
     d = spark.createDataFrame([("s", f"k{i % 25}") for i in range(60)] + [("t", "z"), ("t", None)], "s string, k string")
     picked = U.sample_keys(d, ["s"], "k", 0.10, "1")
