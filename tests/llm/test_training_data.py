@@ -91,6 +91,20 @@ def test_large_family_of_variants_is_paired_whole(spark):
         assert set(found) == want and len(found) == len(want) == 400
 
 
+def test_reordered_texts_and_regular_changes_are_paired(spark):
+    """No run of five shared words is left in the first, none of ten in the second."""
+    rng = random.Random(8)
+    data = []
+    for k, n in enumerate((60, 70, 80, 100)):
+        base = [f"t{k}w{i}" for i in range(n)]
+        mixed = list(base)
+        rng.shuffle(mixed)
+        changed = [f"y{k}n{i}" if i % 8 == 7 else w for i, w in enumerate(base)]
+        data += [(10 * k, 2, " ".join(base)), (10 * k + 1, 1, " ".join(mixed)), (10 * k + 2, 1, " ".join(changed))]
+    got = overlap.cross_split_pairs(spark.createDataFrame(data, "id bigint, side bigint, key string"))
+    assert rows(got) == sorted(((10 * k, 10 * k + j) for k in range(4) for j in (1, 2)), key=str)
+
+
 def test_bagminhash_estimates_multiset_similarity():
     rng = random.Random(0)
     keys = []
