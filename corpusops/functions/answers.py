@@ -6,10 +6,15 @@ there is a reason. Null input gives the documented 'missing' reason.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from decimal import Decimal
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from corpusops.functions import text as T
 
@@ -109,21 +114,31 @@ def permissive_answer(text: Column) -> Column:
     return F.replace(F.nullif(F.when(marked, first).otherwise(last), F.lit("")), F.lit(","), F.lit(""))
 
 
-def rational(value: Column) -> Column:
-    """(num, den) of a number or fraction as decimals, signs kept in num; null for any other text."""
-    v = F.regexp_replace(F.regexp_replace(T.strip(value), r"[$,]", ""), r"[.。,) \]}]+\z", "")
-    top, bottom = F.regexp_extract(v, r"\A([-+]?[0-9]+)/([0-9]+)\z", 1), F.regexp_extract(v, r"\A([-+]?[0-9]+)/([0-9]+)\z", 2)
-    n = F.when(top != "", F.expr("1") * 0 + 1)
-    num = F.when(n.isNotNull(), top.try_cast("decimal(38,10)")).otherwise(v.try_cast("decimal(38,10)"))
-    den = F.when(n.isNotNull(), bottom.try_cast("decimal(38,10)")).otherwise(F.lit(1).cast("decimal(38,10)"))
-    return F.when(num.isNotNull() & den.isNotNull() & (den != 0), F.struct(num.alias("num"), den.alias("den")))
+_PLAIN = re.compile(r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]{1,3})?")
+
+
+def _rational(text: str) -> Fraction | None:
+    top, _, bottom = text.partition("/")
+    if not _PLAIN.fullmatch(top) or (bottom and not (bottom.isascii() and bottom.isdigit() and top.lstrip("+-").isdigit())) or text.endswith("/"):
+        return None
+    den = Fraction(Decimal(bottom or 1))
+    return Fraction(Decimal(top)) / den if den else None
+
+
+@F.arrow_udf(BooleanType())
+def _equal_rationals(left: pa.Array, right: pa.Array) -> pa.Array:
+    """Equality of two numbers or fractions with all their digits; null where one is neither."""
+    out = []
+    for a, b in zip(left.to_pylist(), right.to_pylist()):
+        x, y = (None if t is None else _rational(t) for t in (a, b))
+        out.append(None if x is None or y is None else x == y)
+    return pa.array(out, pa.bool_())
 
 
 def same_number(left: Column, right: Column) -> Column:
     """Equality of two answers as exact rationals; texts that are no numbers compare as text. Null for null."""
-    a, b = rational(left), rational(right)
-    wide = "decimal(38,4)"
-    return F.when(a.isNotNull() & b.isNotNull(), (a["num"].cast(wide) * b["den"].cast(wide)) == (b["num"].cast(wide) * a["den"].cast(wide))).otherwise(T.strip(left) == T.strip(right))
+    a, b = (F.regexp_replace(F.regexp_replace(T.strip(c), r"[$,]", ""), r"[.。,) \]}]+\z", "") for c in (left, right))
+    return F.coalesce(_equal_rationals(a, b), T.strip(left) == T.strip(right))
 
 
 def choice_letter(text: Column) -> Column:

@@ -62,6 +62,12 @@ def test_same_number(spark):
     assert [r[0] for r in got] == [True, True, True, True, True, None]
 
 
+def test_same_number_keeps_all_digits(spark):
+    pairs = [("0.33333", "0.33334", False), ("0.12345678901", "0.12345678902", False), ("1/3", "0.3333333333", False), ("2/6", "1/3", True), ("0.500000000000", ".5", True), ("-7/2", "-3.5", True), ("1" * 45, "1" * 44 + "2", False), ("1/", "1/", True), ("1e2", "100", True)]
+    got = values(spark, [p[:2] for p in pairs], "a string, b string", A.same_number(F.col("a"), F.col("b")))
+    assert [r[0] for r in got] == [p[2] for p in pairs]
+
+
 def test_choices(spark):
     assert one(spark, [" b ", "E", None], A.choice_letter) == ["B", None, None]
     texts = ["why\nFinal answer: C", "Final answer: A\nFinal answer: B", "final ANSWER : d", None]
