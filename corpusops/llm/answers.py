@@ -1,15 +1,17 @@
 """Problem 3: targets that do not properly answer their question, by tagging clauses with a conditional random field.
 
 Method. A target is cut into clauses at line ends and sentence ends. Each clause gets features read in vector steps from
-the code points of a batch: operators and digits, the share of its word triples found in the question, function words of
-the question's language and of others, how it ends, whether it closes with the known answer, and its known words. A
-linear-chain conditional random field tags the clauses as answer, refusal, echo, foreign or unfinished. Lines that only
-name the answer ("#### 12") stand outside the chain. The coverage of the tags, counted in words, decides on the defect.
+the code points of a batch: operators and digits, the share of its word triples found in the question, function words and
+script of the question's language and of others, how it ends, whether the last number so far is the known answer, and its known
+words. A linear-chain conditional random field tags the clauses as answer, refusal, echo, foreign, unfinished or blank (a
+stand-in for no answer). Lines that only name the answer ("#### 12") stand outside the chain. The coverage of the tags, counted in
+words, decides on the defect; a target is truncated when its last clause is unfinished.
 
 The field is fitted on ``TRAIN_ROWS`` rows at most. Their labels are made, not given: rows whose last number is the known
-answer are answers; cut within a clause they end unfinished; sentences of their question in place of the target are an
-echo; targets told in another language than the question, as they are or by exchange, are foreign; refusals are composed from fixed phrases, and refusals of
-the sample itself (no number, no words of the question, no clause seen in answers) are added.
+answer are answers; cut within a clause, or after one before the answer is reached, they end unfinished; sentences of their
+question in place of the target are an echo; targets told in another language than the question, as they are, by exchange or
+with their letters moved to another script, are foreign; refusals are composed by a small grammar, and refusals of the sample itself (no
+number, no words of the question, no clause seen in answers) are added; blank are the marks of missing values in tables.
 """
 
 from __future__ import annotations
@@ -27,34 +29,37 @@ from corpusops.llm import crf, forms
 from corpusops.llm import words as W
 from corpusops.llm.leak import words_of
 
-ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
+ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED, BLANK = range(6)
+TAGS = 6
 TRAIN_ROWS = 3000
 VOCABULARY = 3000
 SLICE_ROWS = 2000
 
-# Function words by language.
+# Articles, conjunctions, prepositions, forms of "to be" and pronouns by language, as public stop-word lists have them.
 FUNCTION_WORDS = {
-    "en": "the a an of and to in is are was were that it with for from how many what each then by at there has had have this we so left not which",
-    "de": "der die das und ist sind zu den dem ein eine von mit für auf nicht wie viele dann es wir also im bei des einen nach danach sich hat zuerst insgesamt noch am davon bleiben ergibt",
-    "fr": "le la les de des et est sont un une du dans pour avec combien que qui on ce cela nous il elle au aux après puis fait par sur reste donc ainsi fin nous avons cela début",
-    "es": "el la los las de y es son un una del en para con cuántas cuántos que se al por su hay lo como después entonces tiene quedan final con así nuevas primero contamos obtenemos hasta tras ahora inicio respuesta",
-    "it": "il lo la gli le di e è sono un una del nel per con quanti quante che si al da poi dopo ha abbiamo alla restano",
-    "pt": "o a os as de e é são um uma do da no na para com quantos quantas que se ao por depois tem temos restam ficam",
-    "nl": "de het een en is zijn van in te op met voor hoeveel dat niet we dan er aan bij uit nog na heeft blijven",
+    "en": "the a an and or but if of at by for with to from in on is are was were be this that it he she they we",
+    "de": "der die das den dem ein eine einen und oder aber wenn von mit zu aus in auf ist sind war nicht er sie es wir auch sich",
+    "fr": "le la les un une des du de et ou mais si avec pour dans sur par est sont était ne pas il elle nous vous que qui",
+    "es": "el la los las un una de del y o pero si con para por en es son era no se ella nosotros lo que como más su",
+    "it": "il lo la gli le un una di del e o ma se con per da in è sono era non si egli noi che come più suo",
+    "pt": "o a os as um uma de do da e ou mas se com para por em é são era não ele ela nós que como mais seu",
+    "nl": "de het een en of maar als van met voor uit in op is zijn was niet hij zij wij ook dat die er aan bij naar nog",
 }
-# What stands for "no answer".
-PLACEHOLDERS = "empty|null|none|nil|nan|n a|na|tbd|todo|no answer|no solution|answer|final answer|the answer is|missing|unknown|placeholder|blank|pending|to be determined|not available|not applicable|undefined|x|xxx|answer pending"
-# Openings, kernels and closings of refusals, for the composed part of the training rows.
-OPENINGS = "|Sorry, but |I'm sorry, but |I apologize, but |Apologies, |Unfortunately, |I'm afraid |As an AI, |As a language model, |As an assistant, |Thank you for asking, however |I appreciate the question; still, |Sorry. |Regrettably, |Hmm, "
-KERNELS = (
-    "I cannot help with that|I can't help with this problem|I can't assist with this request|I am unable to answer this question|I am not able to solve this|"
-    "I must decline to answer|I won't be providing a solution here|I will not solve this task|I don't have enough information to answer|I do not have enough ability to work on this|"
-    "this request is outside what I may answer|answering that would go against my guidelines|this goes against my policy|I prefer not to work on questions about this|"
-    "no solution will be given for this exercise|there is nothing I can offer on this one|I have to refuse this request|I'm not comfortable answering this|I cannot provide an answer|"
-    "I do not know how to solve this|it is not possible for me to complete this task|leider kann ich diese Frage nicht beantworten|dabei kann ich nicht helfen|"
-    "je ne peux pas répondre à cette question|désolé, je ne peux pas vous aider|lo siento, no puedo ayudar con esta pregunta|no puedo resolver este problema"
-)
-CLOSINGS = "|I hope you understand.|Please consult a teacher.|Try a different question.|You may want to ask someone at a school.|Let me know if there is anything else.|Is there something else I can do?"
+# Marks of missing values that table readers know, and two of editors.
+MISSING = "NA|N/A|n/a|<NA>|NaN|nan|None|none|NULL|null|nil|undefined|TODO|TBD|?|-|[empty]|(blank)"
+# Parts of English sentences that decline a task; a refusal takes one of each. Written for this module from the grammar
+# of such sentences: courtesy, subject and modal, verb, object, ground.
+COURTESY = "|Sorry, |I'm sorry, but |Unfortunately, |My apologies, |As a language model, "
+MODAL = "I cannot|I can't|I could not|I am unable to|I'm not able to|I will not|I won't|I refuse to|I must decline to|I would rather not|We cannot|It is impossible for me to"
+VERB = "answer|solve|help with|assist with|respond to|work on|complete|discuss"
+OBJECT = "this|that|it|this question|this problem|your request|the task|such exercises"
+GROUND = "|because of my rules|as it is beyond my abilities|since I lack the knowledge|for reasons of policy|at this time"
+# A second sentence of some: subject, verb, what stands against it.
+SECOND = ("Doing so|That|This|Such a reply|A solution", "goes beyond|would conflict with|is outside of|is not part of", "my rules|my abilities|what I can do|the policy that I follow|what I may say")
+# First letters of alphabets other than the Latin one, for made examples in another script.
+ALPHABETS = (0x0391, 0x0430, 0x0561, 0x05D0, 0x0627, 0x0905, 0x0E01, 0x10D0, 0x3042, 0x4E00, 0xAC00)
+#: Cumulative shares of made defects: cut in a clause, echo, refusal, other language, cut after a clause, other script.
+SHARES = np.cumsum([0.2, 0.15, 0.15, 0.2, 0.15])
 _OPERATORS = np.zeros(forms.TOP, bool)
 _OPERATORS[[ord(c) for c in "=+*/×÷−"]] = True
 _STOPS = np.zeros(forms.TOP, bool)
@@ -78,7 +83,6 @@ class Reader:
         self.languages = list(FUNCTION_WORDS)
         self.function = [np.sort(_hash(w)) for w in FUNCTION_WORDS.values()]
         self.marks = [_hash(w) for w in ("final answer", "the answer is", "answer")]
-        self.empty = {tuple(_hash(x).tolist()) for x in PLACEHOLDERS.split("|")}
 
     def _words(self, texts: pa.Array):
         cps, off = forms.fold_all(*W.utf8(texts))
@@ -188,14 +192,16 @@ class Reader:
         known_at = np.minimum(np.searchsorted(self.vocabulary, h), max(len(self.vocabulary) - 1, 0))
         known = self.vocabulary[known_at] == h if len(self.vocabulary) else np.zeros(len(h), bool)
         rare = 1 - np.bincount(word_clause, known, n_clauses) / np.maximum(words, 1)
+        short, met = (expected != 0) & (last_number != expected), (expected != 0) & (last_number == expected)
         dense = np.stack([
             np.ones(n_clauses), has_digit, has_op, echo >= 0.6, (echo >= 0.25) & (echo < 0.6), words < 3, closed, dangling, last, last & ~closed,
             last & ~closed & ends_number & ends_with, foreign & (other >= 2), foreign & (other < 2), (own > 0) & ~foreign, strange, firsts, rare > 0.5, last & dangling, turned,
+            last & short[clause_row], last & met[clause_row], firsts & last & (words < 4) & ~has_digit,
         ], 1).astype(np.float64)
         body_words = np.bincount(word_row, body_word, n)
         return {
             "n": n, "body": body, "clause_row": clause_row, "words": words, "dense": dense, "h": h, "word_clause": word_clause, "known": known, "known_at": known_at, "word_row": word_row,
-            "body_word": body_word, "body_words": body_words, "named": np.bincount(clause_row, named, n) > 0, "answer": answer, "has_answer": has_answer, "expected": expected, "last_number": last_number, "ops": np.bincount(clause_row[body], has_op[body], n), "q_lang": q_lang, "t_lang": t_lang, "echo": echo,
+            "body_word": body_word, "body_words": body_words, "named": np.bincount(clause_row, named, n) > 0, "answer": answer, "has_answer": has_answer, "expected": expected, "last_number": last_number, "ops": np.bincount(clause_row[body], has_op[body], n), "q_lang": q_lang, "t_lang": t_lang, "echo": echo, "strange": 2 * np.bincount(clause_row, strange, n) > np.bincount(clause_row, body, n),
         }
 
     def _language(self, h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,27 +254,15 @@ def defects(reader: Reader, model: crf.Model, questions: pa.Array, targets: pa.A
     b, where = reader.batch(f)
     tag = crf.viterbi(model, b)
     row, size, n = f["clause_row"][where], np.maximum(f["words"][where], 1), f["n"]
-    cover = np.stack([np.bincount(row[tag == k], size[tag == k], n) for k in range(5)], 1)
-    total = np.maximum(cover.sum(1), 1)
-    share = cover / total[:, None]
-    ends_open = np.zeros(n, bool)
-    ends = np.flatnonzero(b.dense[:, 8] > 0) if len(where) else where
-    ends_open[row[ends]] = tag[ends] == UNFINISHED
-    expected = f["expected"]
-    short_of = (expected != 0) & (f["last_number"] != expected)
-    no_number = (f["last_number"] == 0) & ((f["ops"] == 0) | (expected != 0))
+    cover = np.stack([np.bincount(row[tag == k], size[tag == k], n) for k in range(TAGS)], 1)
+    share = cover / np.maximum(cover.sum(1), 1)[:, None]
     out = np.zeros(n, np.int64)
-    out[ends_open | short_of | no_number] = 2
-    out[(share[:, REFUSAL] >= 0.4) & (f["ops"] == 0)] = 3
-    out[share[:, FOREIGN] >= 0.5] = 5
-    out[share[:, ECHO] >= 0.5] = 4
-    nothing = f["body_words"] == 0
-    out[nothing] = np.where(f["named"][nothing], 0, 1)
-    few = np.flatnonzero((f["body_words"] > 0) & (f["body_words"] <= 3))
-    bounds = np.searchsorted(f["word_row"], np.stack([few, few + 1]))
-    for i, lo, hi in zip(few, *bounds):  # a placeholder has at most three words
-        if tuple(f["h"][lo:hi][f["body_word"][lo:hi]].tolist()) in reader.empty:
-            out[i] = 1
+    ends = np.flatnonzero(b.dense[:, 8] > 0) if len(where) else where
+    out[row[ends[tag[ends] == UNFINISHED]]] = 2
+    for label, least, kind in ((REFUSAL, 0.4, 3), (FOREIGN, 0.5, 5), (ECHO, 0.5, 4), (BLANK, 0.5, 1)):
+        out[share[:, label] >= least] = kind
+    bare = (f["body_words"] == 0) & (share[:, BLANK] < 0.5)
+    out[bare] = np.where(f["named"][bare], 0, 1)
     return KINDS[out]
 
 
@@ -286,20 +280,20 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 11) -> tuple[Reader, crf.M
     lang, told = f["q_lang"], f["t_lang"]
     body = {i: tail.sub("", rows[i][1]) for i in good}
     for i in good:
-        turned = told[i] >= 0 and lang[i] >= 0 and told[i] != lang[i]
+        turned = f["strange"][i] or (told[i] >= 0 and lang[i] >= 0 and told[i] != lang[i])
         made.append((rows[i][0], rows[i][1], rows[i][2], FOREIGN if turned else ANSWER, False))
         for s in sentences(body[i]):
             k = re.sub(r"[A-Z]\w+|\d+", "_", s)
             seen[k] = seen.get(k, 0) + 1
-    names = [w for i in good[:200] for w in re.findall(r"\b[A-Z][a-z]{4,}\b", rows[i][0])] or ["Someone"]
-    split = lambda s: s.split("|")
-    openings, kernels, closings = split(OPENINGS), split(KERNELS), split(CLOSINGS)
+    parts_of = [x.split("|") for x in (COURTESY, MODAL, VERB, OBJECT, GROUND)]
+    missing = MISSING.split("|")
+    pick = lambda xs: xs[int(rng.integers(0, len(xs)))]
     by_lang: dict[int, list[int]] = {}
     for i in good:
         by_lang.setdefault(int(told[i]), []).append(i)
     for i in good:
         question, answer = rows[i][0], rows[i][2]
-        kind = rng.integers(0, 4)
+        kind = int(np.searchsorted(SHARES, rng.random()))
         if kind == 0 and len(body[i]) > 12:
             stop = int(rng.integers(6, len(body[i]) - 1))
             cut = body[i][:stop].rstrip()
@@ -313,13 +307,19 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 11) -> tuple[Reader, crf.M
             text = (text.lower(), text, "Question: " + text, text + "\nAnswer:")[rng.integers(0, 4)]
             made.append((question, text, answer, ECHO, False))
         elif kind == 2:
-            kernel = kernels[rng.integers(0, len(kernels))]
-            text = openings[rng.integers(0, len(openings))] + kernel
-            text = text[0].upper() + text[1:] + ". " + closings[rng.integers(0, len(closings))]
-            if rng.random() < 0.2:
-                text = f"{names[rng.integers(0, len(names))]} is mentioned first. " + text
-            made.append((question, text.strip(), answer, REFUSAL, False))
-        else:
+            courtesy, modal, verb, what, ground = (pick(x) for x in parts_of)
+            told_off = [f"{courtesy}{modal} {verb} {what}{' ' * bool(ground)}{ground}.", " ".join(pick(x.split("|")) for x in SECOND) + "."]
+            told_off = (told_off[:1], told_off[1:], told_off, told_off[::-1])[rng.integers(0, 4)]
+            made.append((question, " ".join(told_off), answer, REFUSAL, False))
+        elif kind == 4:
+            own = sentences(body[i])
+            if len(own) > 1:  # whole sentences, but the answer is not reached
+                made.append((question, " ".join(own[: int(rng.integers(1, len(own)))]), answer, UNFINISHED, True))
+            made.append((question, pick(missing), answer, BLANK, False))
+        elif kind == 5:
+            first = ALPHABETS[rng.integers(0, len(ALPHABETS))]
+            made.append((question, re.sub("[A-Za-z]", lambda m: chr(first + ord(m[0].lower()) - 97), body[i]), answer, FOREIGN, False))
+        elif kind == 3:
             others = [x for x in by_lang if x != lang[i] and x >= 0]
             if lang[i] >= 0 and (not others or rng.random() < 0.3):  # languages that the sample does not hold
                 pool = FUNCTION_WORDS[plain.languages[(int(lang[i]) + 1 + int(rng.integers(0, len(FUNCTION_WORDS) - 1))) % len(FUNCTION_WORDS)]].split()
@@ -348,7 +348,7 @@ def fit(rows: list[tuple[str, str, str]], seed: int = 11) -> tuple[Reader, crf.M
     label = np.array([m[3] for m in made] or [0])[f["clause_row"][where]]
     only_last = np.array([m[4] for m in made] or [False])[f["clause_row"][where]]
     label = np.where(only_last & (b.dense[:, 8] == 0), ANSWER, label)
-    return reader, crf.train(b, label, 5, max(len(reader.vocabulary), 1))
+    return reader, crf.train(b, label, TAGS, max(len(reader.vocabulary), 1))
 
 
 def defective_pairs(df: DataFrame, id_col: str, prompt_col: str, target_col: str, answer_col: str, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -361,7 +361,7 @@ def defective_pairs(df: DataFrame, id_col: str, prompt_col: str, target_col: str
     question = F.coalesce(T.question_of(F.col(prompt_col)), F.col(prompt_col), F.lit(""))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), question.alias("q"), F.coalesce(F.col(target_col), F.lit("")).alias("t"), F.coalesce(F.col(answer_col), F.lit("")).alias("a")).where("id is not null")
     full = rows.where("t <> ''")
-    n = full.count()
+    n = rows.count()
     if n > 2 * train_rows:  # only about so many rows come into question; no task sends more than its part of them
         full = full.where(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1_000_000)) < int(2_000_000 * train_rows / n))
     sample = full.orderBy(F.xxhash64("id"), "id").limit(train_rows).select("q", "t", "a").collect()

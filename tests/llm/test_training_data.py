@@ -269,9 +269,12 @@ def solution(rng):
 
 
 GERMAN = "Zuerst sind es {a} Perlen. Danach kommen noch {b} dazu, also sind es dann {c} Perlen und das ist die Antwort."
+RUSSIAN = "Сначала было {a} бусин. Потом добавили {b}, поэтому стало {c} бусин, и это ответ."
+GREEK = "Στην αρχή είναι {a} χάντρες. Μετά έρχονται άλλες {b} και τότε γίνονται {c}."
 
 
 def test_broken_pairs_on_held_out_cases(spark):
+    """Refusals share no phrase with the made ones; truncated solutions also break off after a whole sentence."""
     rng = random.Random(12)
     data, want = [], {}
     for i in range(700):
@@ -281,13 +284,14 @@ def test_broken_pairs_on_held_out_cases(spark):
             target, kind = rng.choice([None, "", " ​", "n/a", "####", "[no answer]"]), "empty"
         elif i % 12 == 2:
             body = " ".join(steps)
-            target, kind = body[: rng.randrange(12, len(body) - 8)] + rng.choice(["", f"\n#### {gold}", "..."]), "truncated"
+            cut = rng.choice([body[: rng.randrange(12, len(body) - 8)], " ".join(steps[:-1])])
+            target, kind = cut + rng.choice(["", f"\n#### {gold}", "..."]), "truncated"
         elif i % 12 == 3:
-            target, kind = rng.choice(["Sorry, I can't help with this problem.", "I must decline to answer. Please consult a teacher.", f"I am not able to solve this.\n#### {gold}"]), "refusal"
+            target, kind = rng.choice(["Nothing of that kind is done here, please ask a person you trust.", "You will get no reply to this from me. Have a nice day.", f"Sadly this is something a program should leave alone.\n#### {gold}"]), "refusal"
         elif i % 12 == 4:
             target, kind = rng.choice([q, q.lower(), "Question: " + q, q + f"\n#### {gold}"]), "copied_question"
         elif i % 12 == 5:
-            target, kind = GERMAN.format(a=1, b=2, c=gold), "other_language"
+            target, kind = rng.choice([GERMAN, RUSSIAN, GREEK]).format(a=1, b=2, c=gold), "other_language"
         elif i % 12 == 6:
             target = f"#### {gold}"
         data.append((i, f"Question: {q}\nAnswer:", target, gold if rng.random() < 0.9 or kind == "truncated" else None, "x"))
