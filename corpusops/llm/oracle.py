@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from corpusops.llm import forms
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
@@ -20,6 +23,15 @@ def form_sql(text: str) -> str:
     return f"nfc_normalize(translate(nfc_normalize({out}), '{_FROM}', '{quoted}'))"
 
 
+def nfkc_sql(text: str) -> str:
+    """NFKC of a text whose compatibility forms stand for one character or for a ligature."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, min(0x1F000, sys.maxunicode)) if unicodedata.decomposition(chr(c)).startswith("<")]
+    single = [(a, b) for a, b in pairs if len(b) == 1 and b not in "'"]
+    for wide in "ﬀﬁﬂﬃﬄ½¼¾":
+        text = f"replace({text}, '{wide}', '{unicodedata.normalize('NFKC', wide)}')"
+    return f"nfc_normalize(translate({text}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}'))"
+
+
 _WORDS_20 = "array_to_string(w[i:i+19], ' ')"
 _P6 = rf"""
 e AS (SELECT item_id, regexp_extract_all(lower({form_sql('question')}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM eval_items),
@@ -40,11 +52,27 @@ f AS (SELECT a.id AS i, b.id AS j FROM l JOIN m a ON a.rep = x JOIN m b ON b.rep
 SELECT least(i, j) AS id_a, greatest(i, j) AS id_b FROM f"""
 
 
-_FINAL = r"SELECT final_id AS id, split = 'train' AS side, array_to_string(regexp_extract_all(lower(nfc_normalize(regexp_extract(input, '(?s)Question: (.*)\nAnswer:', 1))), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM final_rows WHERE contains(input, 'Question: ')"
+def _linked(rows: str) -> str:
+    """Tables up to l(x, y), the near-same pairs of distinct keys; r(id, side, key) and m(id, side, rep) as in _near."""
+    return _near(rows, "true").split(", m AS")[0].strip()[5:]
+
+
+_QUESTION = r"regexp_extract(input, '(?s)Question: (.*)\nAnswer:', 1)"
+_FINAL = rf"SELECT final_id AS id, split = 'train' AS side, array_to_string(regexp_extract_all(lower({nfkc_sql(_QUESTION)}), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM final_rows WHERE contains(input, 'Question: ')"
+# Linked texts of different sides, both ways; windows of five words that both hold; the words in such windows.
+_P1 = f"""{_linked(_FINAL)}, s AS (SELECT k.rep, r.side, count(*) AS size FROM r JOIN k USING (key) GROUP BY ALL), q AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+e AS (SELECT u.rep, u.side, v.rep AS other, v.size FROM q JOIN s u ON u.rep = x JOIN s v ON v.rep = y WHERE u.side <> v.side),
+w AS (SELECT rep, string_split(key, ' ') AS w FROM k), g AS (SELECT rep, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT rep, w, unnest(range(1, len(w) - 3)) AS i FROM w)),
+c AS (SELECT rep, side, count(DISTINCT i + j) AS covered FROM (SELECT e.rep, e.side, a.i, unnest(range(0, 5)) AS j FROM e JOIN g a ON a.rep = e.rep JOIN g b ON b.rep = e.other AND b.g = a.g) GROUP BY ALL),
+z AS (SELECT s.rep, s.side, (SELECT coalesce(sum(size), 0) FROM s t WHERE t.rep = s.rep AND t.side <> s.side) AS same, (SELECT count(*) FROM e WHERE e.rep = s.rep AND e.side = s.side) AS links, (SELECT coalesce(sum(size), 0) FROM e WHERE e.rep = s.rep AND e.side = s.side) AS near FROM s),
+records AS (SELECT r.id AS final_id, z.rep AS text_id, same > 0 AS copied, links, CAST(same + near AS BIGINT) AS pairs, round(CASE WHEN same > 0 THEN 1.0 ELSE coalesce(covered / len(w.w), 0.0) END, 6) AS coverage
+ FROM r JOIN k USING (key) JOIN z ON z.rep = k.rep AND z.side = r.side JOIN w ON w.rep = k.rep LEFT JOIN c ON c.rep = z.rep AND c.side = z.side)"""
 _PREPARED = "SELECT row_id AS id, true AS side, question_key AS key FROM prepared_rows WHERE question_key <> ''"
 
 ORACLE = {
     "p1_found": f"SELECT id_a AS final_id_a, id_b AS final_id_b FROM ({_near(_FINAL, 'a.side <> b.side')})",
+    "p1_records": f"WITH {_P1} SELECT * FROM records",
+    "p1_report": f"WITH {_P1} SELECT split, lower(trim(source)) AS source, count(*) AS rows, count(records.pairs) AS overlapping_rows, CAST(coalesce(sum(records.pairs), 0) AS BIGINT) AS pairs, round(avg(coverage), 6) AS mean_coverage, round(count(records.pairs) / count(*), 6) AS overlapping_share FROM final_rows LEFT JOIN records ON records.final_id = final_rows.final_id AND records.pairs > 0 GROUP BY ALL",
     "p4_found": f"SELECT id_a AS row_id_a, id_b AS row_id_b FROM ({_near(_PREPARED, 'true')})",
     "p6_found": f"WITH {_P6} SELECT doc_id, item_id FROM found",
     "p6_report": f"WITH {_P6} SELECT suite, count(DISTINCT e.item_id) AS items, count(DISTINCT found.item_id) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items e LEFT JOIN found ON found.item_id = e.item_id GROUP BY suite",

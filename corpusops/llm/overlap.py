@@ -1,13 +1,21 @@
 """Problem 1: records shared, exactly or almost, between a training split and evaluation splits.
 
-Method. An exact set-similarity join of the distinct texts, whatever the order of their words. The elements of a text are
-its words numbered by their repeats; all texts order them alike, rare ones first. With d(a, b) = (1 - s) / (1 + s) * (a + b),
-two texts of a and b elements and at least the similarity s differ in d(a, b) elements at most. So they share an element,
-and the first one that they share has at most d(a, b) elements before it in both texts together; and the two lengths differ by
-the factor s at most. Therefore only the first (1 - s) * n + 1 elements of each text are emitted, to the partition of the
-element and the length class; there the held-out texts meet the training texts within that bound of positions, which one
-sort by position less the text's part of d gives. What is left is thinned by a sketch of ``SKETCH`` parities, which differ
-in d(a, b) bits at most, and verified by the exact multiset similarity. No step leaves out a pair of the similarity asked.
+Method. A suffix array over the texts as they stand finds shared spans, but near-same texts are to be found whatever the order of their
+words, and reordered ones need not share any long span. So the pairs come from a set-similarity join in its place, and the suffix
+array then shows on the linked texts which spans they share.
+
+The join is exact. The elements of a text are its words numbered by their repeats; all texts order them alike, rare ones
+first. With d(a, b) = (1 - s) / (1 + s) * (a + b), two texts of a and b elements and at least the similarity s differ in
+d(a, b) elements at most. So they share an element, and the first one that they share has at most d(a, b) elements before it in both
+texts together; and the two lengths differ by the factor s at most. Therefore only the first (1 - s) * n + 1 elements of
+each text are emitted, to the partition of the element and the length class; there the held-out texts meet the training
+texts within that bound of positions, which one sort by position less the text's part of d gives. What is left is
+thinned by a sketch of ``SKETCH`` parities, which differ in d(a, b) bits at most, and verified by the exact multiset
+similarity. No step leaves out a pair of the similarity asked.
+
+Spans. The two texts of every link are concatenated and a suffix array over a batch of them, in which the links keep apart,
+is built by prefix doubling. The nearest suffixes of the other side before and after a suffix have its longest common
+prefixes; those of ``SPAN`` words or more are shared spans, and their union over all links of a record is its coverage.
 
 How often a word occurs is read from a hash sample of the texts, for the words that are more than 1 / ``RANKED`` of it; this
 decides on the order of the elements, thus on the work, and never on the result.
@@ -19,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -33,6 +41,8 @@ SAMPLE_ONE_IN = 8
 #: Words are ranked by frequency down to this part of all words, so these are fewer than RANKED words.
 RANKED = 262_144
 TRAIN, HELD_OUT = 1, 2
+#: Least words of a shared span, and links of which one suffix array is built.
+SPAN, LINKS_A_TIME = 5, 2_000
 #: Roundings of floats must not lose a pair that lies on a bound.
 SLACK = 1e-6
 
@@ -161,13 +171,74 @@ def keyed_rows(df: DataFrame, id_col: str, split_col: str, prompt_col: str, trai
     ).where(F.col("id").isNotNull() & F.col("key").isNotNull() & df[split_col].isNotNull())
 
 
+def suffix_array(symbols: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(suffixes in order, ranks by prefixes of 1, 2, 4, ... symbols) of concatenated texts; ``end`` is where a symbol's text ends."""
+    rank = np.unique(symbols, return_inverse=True)[1] + 1
+    ranks, width, longest = [rank], 1, int((end - np.arange(len(end))).max(initial=0))
+    while width < longest:
+        after = np.arange(len(rank)) + width
+        second = np.where(after < end, rank[np.minimum(after, len(rank) - 1)], 0)
+        rank = np.unique(rank * np.int64(len(rank) + 2) + second, return_inverse=True)[1] + 1
+        ranks.append(rank)
+        width *= 2
+    return np.argsort(rank, kind="stable"), ranks
+
+
+def common_prefix(ranks: list[np.ndarray], i: np.ndarray, j: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Length of the longest common prefix of suffixes i and j, read off the ranks from the widest down."""
+    out = np.zeros(len(i), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = i + out, j + out
+        inside = (x < end[i]) & (y < end[j])
+        same = inside & (ranks[k][np.minimum(x, len(end) - 1)] == ranks[k][np.minimum(y, len(end) - 1)])
+        out[same] += 1 << k
+    return np.minimum(out, np.minimum(end[i] - i, end[j] - j))
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, side, begin, stop) of the spans that the texts of a link share, for both of its texts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, LINKS_A_TIME):
+            part = batch.slice(at, LINKS_A_TIME)
+            n = part.num_rows
+            both = [W.word_hashes(part.column(c)) for c in ("ka", "kb")]
+            size = np.stack([np.diff(off) for _, off in both], 1).reshape(-1)  # texts a and b of each link in turn
+            begin = np.concatenate([[0], np.cumsum(size)])
+            text = np.repeat(np.arange(2 * n), size)
+            h = np.empty(begin[-1], np.uint64)
+            for side, (words, _) in enumerate(both):
+                h[text % 2 == side] = words
+            with np.errstate(over="ignore"):
+                symbols = W.mix(h + (text // 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # links keep apart
+            end = begin[text + 1]
+            order, ranks = suffix_array(symbols, end)
+            side = text[order] % 2
+            best = np.zeros(len(h), np.int64)
+            for turn in (1, -1):  # the nearest suffix of the other side before, then after
+                o, sd = order[::turn], side[::turn]
+                place = np.arange(len(o))
+                near = [np.maximum.accumulate(np.where(sd == k, place, -1)) for k in (0, 1)]
+                other = np.where(sd == 0, near[1], near[0])
+                has = other >= 0
+                i, j = o[has], o[other[has]]
+                best[i] = np.maximum(best[i], common_prefix(ranks, i, j, end))
+            starts = np.concatenate([[True], best[1:] >= best[:-1]]) if len(best) else np.zeros(0, bool)
+            starts[begin[:-1][size > 0]] = True
+            at_ = np.flatnonzero((best >= SPAN) & starts)
+            rep = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], 1).reshape(-1)[text[at_]]
+            first = at_ - begin[text[at_]]
+            yield pa.record_batch(
+                [pa.array(rep), pa.array(np.where(text[at_] % 2 == 0, HELD_OUT, TRAIN)), pa.array(first), pa.array(first + best[at_])], ["rep", "side", "begin", "stop"]
+            )
+
+
 def cross_split_links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """Links between distinct texts, and the membership of rows in them.
 
     ``rows`` has id:bigint, side (1 training, 2 held out) and key (words joined by blanks, none null).
-    Returns (links, members): links(a, b, similarity) with a held-out text a and a training text b, both
+    Returns (links, members): links(a, b, similarity, ka, kb) with a held-out text a and a training text b, both
     named by the least id of their rows, each pair once, without pairs of a text with itself; members(rep, id, side).
-    Exact copies are one text, so a group of copies of any size costs one suffix set. Empty input gives empty tables.
+    Exact copies are one text, so a group of copies of any size costs one element set. Empty input gives empty tables.
     """
     spark = rows.sparkSession
     digest = [F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2")]
@@ -191,7 +262,7 @@ def cross_split_links(rows: DataFrame, threshold: float = 0.75) -> tuple[DataFra
         .join(right, "b")
         .withColumn("similarity", near_same("ka", "kb"))
         .where(F.col("similarity") >= threshold)
-        .select("a", "b", "similarity")
+        .select("a", "b", "similarity", "ka", "kb")
     )
     members = rows.select("id", "side", "h1", "h2").join(texts.select("h1", "h2", "rep"), ["h1", "h2"]).select("rep", "id", "side")
     return links, members
@@ -208,20 +279,48 @@ def cross_split_pairs(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
     return near.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 
-def overlap_report(df: DataFrame, pairs: DataFrame, id_col: str, split_col: str, source_col: str, train: str = "train") -> DataFrame:
-    """Rows per split and source, those with a partner across splits, and the pairs they take part in.
+def record_overlap(rows: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """One row for each record of ``rows`` (see cross_split_links): (id, text_id, copied, links, pairs, coverage).
+
+    ``text_id`` names its class of copies, ``copied`` tells whether the same text stands on the other side, ``links`` counts the different texts
+    there that are near-same, ``pairs`` the records behind both. ``coverage`` is the share of its words in spans of
+    ``SPAN`` words or more that it shares with a linked text, 1 for a copied one and 0 without a link.
+    """
+    links, members = cross_split_links(rows, threshold)
+    links = written(links)
+    sizes = written(members.groupBy("rep").agg(F.count_if(F.col("side") == TRAIN).alias("in_train"), F.count_if(F.col("side") == HELD_OUT).alias("in_held")))
+    other = sizes.select(F.col("rep").alias("other"), "in_train", "in_held")
+    ends = links.select(F.explode(F.array(*(
+        F.struct(F.col(x).alias("rep"), F.lit(side).alias("side"), F.col(y).alias("other"), F.size(F.split(f"k{x}", " ")).alias("words")) for x, side, y in (("a", HELD_OUT, "b"), ("b", TRAIN, "a"))
+    ))).alias("e")).select("e.*")
+    facing = F.when(F.col("side") == HELD_OUT, F.col("in_train")).otherwise(F.col("in_held"))
+    linked = ends.join(other, "other").groupBy("rep", "side").agg(F.count("*").alias("links"), F.sum(facing).alias("near"), F.first("words").alias("words"))
+    # a record has at most as many different spans as places in its text, whatever the number of its links
+    spans = links.select("a", "b", "ka", "kb").mapInArrow(_spans, "rep bigint, side bigint, begin bigint, stop bigint").distinct()
+    before = F.max("stop").over(Window.partitionBy("rep", "side").orderBy("begin", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    covered = spans.withColumn("from", F.greatest("begin", F.coalesce(before, F.lit(0)))).groupBy("rep", "side").agg(F.sum(F.greatest(F.col("stop") - F.col("from"), F.lit(0))).alias("covered"))
+    own = members.join(sizes, "rep").join(linked.join(covered, ["rep", "side"], "left"), ["rep", "side"], "left")
+    copies = F.when(F.col("side") == HELD_OUT, F.col("in_train")).otherwise(F.col("in_held"))
+    share = F.when(copies > 0, F.lit(1.0)).otherwise(F.coalesce(F.col("covered") / F.col("words"), F.lit(0.0)))
+    return own.select(
+        "id", F.col("rep").alias("text_id"), (copies > 0).alias("copied"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), (copies + F.coalesce("near", F.lit(0))).cast("bigint").alias("pairs"), F.round(share, 6).alias("coverage")
+    )
+
+
+def overlap_report(df: DataFrame, records: DataFrame, id_col: str, split_col: str, source_col: str) -> DataFrame:
+    """Rows per split and source, those with a partner across splits, the pairs they take part in and their mean coverage.
 
     Sources are compared in trimmed lower case; a null source is reported as null.
     """
-    per_row = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
     base = df.select(F.col(id_col).alias("id"), F.col(split_col).alias("split"), F.lower(T.strip(F.col(source_col))).alias("source"))
     return (
-        base.join(per_row, "id", "left")
+        base.join(records.select("id", "pairs", "coverage").where("pairs > 0"), "id", "left")
         .groupBy("split", "source")
         .agg(
             F.count("*").alias("rows"),
-            F.count("n").alias("overlapping_rows"),
-            F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"),
+            F.count("pairs").alias("overlapping_rows"),
+            F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("pairs"),
+            F.round(F.avg("coverage"), 6).alias("mean_coverage"),
         )
         .withColumn("overlapping_share", F.round(F.col("overlapping_rows") / F.col("rows"), 6))
     )

@@ -14,10 +14,16 @@ def p1_found(spark, sf_dir):
     return overlap.cross_split_pairs(rows).select(F.col("id_a").alias("final_id_a"), F.col("id_b").alias("final_id_b"))
 
 
+def _records(spark, sf_dir):
+    return overlap.record_overlap(overlap.keyed_rows(table(spark, sf_dir, "final_rows"), "final_id", "split", "input"))
+
+
+def p1_records(spark, sf_dir):
+    return _records(spark, sf_dir).withColumnRenamed("id", "final_id")
+
+
 def p1_report(spark, sf_dir):
-    df = table(spark, sf_dir, "final_rows")
-    pairs = overlap.cross_split_pairs(overlap.keyed_rows(df, "final_id", "split", "input"))
-    return overlap.overlap_report(df, pairs, "final_id", "split", "source")
+    return overlap.overlap_report(table(spark, sf_dir, "final_rows"), _records(spark, sf_dir), "final_id", "split", "source")
 
 
 def _mixed(spark, sf_dir):
@@ -88,4 +94,4 @@ def p7_forms(spark, sf_dir):
     return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}

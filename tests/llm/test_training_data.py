@@ -69,8 +69,13 @@ def test_cross_split_pairs_against_brute_force(spark):
     want = {(min(x[0], y[0]), max(x[0], y[0])) for x in whole for y in whole if x[1] == "train" != y[1] and near_same(x[2], y[2]) >= 0.75}
     found = [tuple(r) for r in got.collect()]
     assert set(found) == want and len(found) == len(want) > 50
-    report = overlap.overlap_report(df, got, "final_id", "split", "rep")
+    records = overlap.record_overlap(overlap.keyed_rows(df, "final_id", "split", "input"))
+    report = overlap.overlap_report(df, records, "final_id", "split", "rep")
     assert sum(r.pairs for r in report.collect()) == 2 * len(want)
+    per = {r.id: r for r in records.collect()}
+    assert set(per) == {x[0] for x in whole} and all((r.pairs > 0) == any(i in p for p in want) for i, r in per.items())
+    assert all(r.coverage == 1.0 for r in per.values() if r.copied)
+    assert rows(overlap.record_overlap(overlap.keyed_rows(df.limit(0), "final_id", "split", "input"))) == []
     assert rows(overlap.cross_split_pairs(overlap.keyed_rows(df.limit(0), "final_id", "split", "input"))) == []
 
 
@@ -91,6 +96,41 @@ def test_large_family_of_variants_is_paired_whole(spark):
         assert set(found) == want and len(found) == len(want) == 400
 
 
+@pytest.mark.parametrize("held, train", [(20, 20), (60, 20), (1, 1000)])
+def test_templated_questions_are_paired_whole(spark, held, train):
+    """72 words of one template of which eight numbers differ: every pair has the similarity 0.8."""
+    number = iter(range(10**6, 10**7))
+    template = [f"t{i % 50}" for i in range(72)]
+    data = []
+    for i in range(held + train):
+        words = list(template)
+        for k in range(8):
+            words[9 * k] = str(next(number))
+        data.append((i, 2 if i < held else 1, " ".join(words)))
+    got = overlap.cross_split_pairs(spark.createDataFrame(data, "id bigint, side bigint, key string"))
+    assert got.distinct().count() == got.count() == held * train
+
+
+def test_suffix_array_and_common_prefixes():
+    rng = np.random.default_rng(3)
+    sizes = [30, 1, 25, 0, 40]
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    x, end = rng.integers(0, 3, off[-1]).astype(np.uint64), np.repeat(off[1:], sizes)
+    order, ranks = overlap.suffix_array(x, end)
+    assert [tuple(x[i : end[i]]) for i in order] == sorted(tuple(x[i : end[i]]) for i in range(len(x)))
+    i, j = rng.integers(0, len(x), 300), rng.integers(0, len(x), 300)
+    prefix = [next((k for k in range(min(end[a] - a, end[b] - b)) if x[a + k] != x[b + k]), min(end[a] - a, end[b] - b)) for a, b in zip(i, j)]
+    assert overlap.common_prefix(ranks, i, j, end).tolist() == prefix
+
+
+def test_coverage_is_the_union_over_all_linked_texts(spark):
+    words = [f"c{i}" for i in range(40)]
+    one, two = words[:36] + ["x1", "x2", "x3", "x4"], ["y1", "y2", "y3", "y4"] + words[4:]
+    data = [(1, 2, " ".join(words)), (2, 1, " ".join(one)), (3, 1, " ".join(two))]
+    got = {r.id: r for r in overlap.record_overlap(spark.createDataFrame(data, "id bigint, side bigint, key string")).collect()}
+    assert (got[1].links, got[1].coverage) == (2, 1.0) and got[2].coverage == got[3].coverage == 0.9
+
+
 def test_reordered_texts_and_regular_changes_are_paired(spark):
     """No run of five shared words is left in the first, none of ten in the second."""
     rng = random.Random(8)
