@@ -4,9 +4,10 @@ Method. A text longer than the capacity is cut into pieces of the capacity and o
 histogram whose size is bounded by the capacity, so it is the only thing the driver sees. On it the configuration linear
 program (fewest containers, each filled by one configuration of length classes, that hold all items) is solved by
 multiplicative weights: the price of a class is multiplied by exp(-RATE * (its coverage - the schedule)) in every round, a
-knapsack dynamic program finds the configuration of greatest price, and a share of the containers takes it. The
-prices also give a lower bound on the number of containers. Whole parts of the solution are kept; what they leave is
-packed by further rounds of the same pricing, each limited to the items left and used at least once.
+knapsack dynamic program finds the configuration of greatest price, and a share of the containers takes it, less where that
+would cover more than a part of a class. The
+prices also give a lower bound on the number of containers. The amounts of the configurations are rounded along their running
+sum and the program is solved again for the items that this leaves; the last few are packed by one knapsack a container.
 
 Classes are lengths rounded up to a grid of ``GRID`` steps of the capacity. Rows get their rank within their class in
 slices (see ranking), and the table of configurations, bounded by the grid and the rounds, maps ranks to containers.
@@ -29,6 +30,10 @@ from corpusops.runtime import written
 GRID = 512
 ROUNDS = 300
 RATE = 12.0
+#: No round covers more than this part of a class; rounds end after so many.
+STEP, MOST_ROUNDS = 0.3, 1500
+#: Rounds when the program is solved again, and containers of such a turn from which on it is left.
+LATER_ROUNDS, FEW = 100, 2
 ROWS_A_SLICE = 100_000
 
 
@@ -40,6 +45,7 @@ class Plan:
     first: dict[int, np.ndarray]
     each: dict[int, np.ndarray]
     containers: int
+    from_program: int
     bound: int
 
 
@@ -66,32 +72,69 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
     return out
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, int]], float]:
-    """(configurations with their number of containers, lower bound) for classes of given sizes and counts."""
-    plan: list[tuple[np.ndarray, int]] = []
-    if not len(sizes):
-        return plan, 0.0
+def program(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = ROUNDS, rate: float = RATE) -> tuple[list[tuple[np.ndarray, float]], np.ndarray]:
+    """The configurations of the linear program with their fractional amounts, and the prices of the best lower bound."""
     base = sizes / room
     estimate = float((sizes * counts).sum() / room)
-    cover, bound = np.zeros(len(sizes)), estimate
+    cover, best, mean = np.zeros(len(sizes)), base, np.zeros(len(sizes))
+    for small in sizes[2 * sizes <= room]:  # threshold prices: items that leave no room for a kept one count whole, smaller than kept ones nothing
+        threshold = np.where(sizes > room - small, 1.0, np.where(sizes < small, 0.0, base))
+        best = max(best, threshold, key=lambda p: float((p * counts).sum()))
+    bound = float((best * counts).sum())
     used: dict[bytes, list] = {}
-    for r in range(rounds):
-        price = base * np.exp(-rate * (cover - r / rounds))
+    done, r = 0.0, 0
+    while done < 1 and r < MOST_ROUNDS:
+        r += 1
+        price = base * np.exp(-rate * (cover - done))
         take = knapsack(sizes, price, room)
-        bound = max(bound, float((price * counts).sum() / (price * take).sum()))
-        cover += take * (estimate / rounds) / counts
-        used.setdefault(take.tobytes(), [take, 0.0])[1] += estimate / rounds
-    left = counts.astype(np.int64).copy()
-    for take, amount in sorted(used.values(), key=lambda x: -x[1]):
+        price = price / (price * take).sum()  # no configuration is worth more than 1, nor is it under a mean of such prices
+        mean += price
+        if (lower := float((price * counts).sum())) > bound:
+            bound, best = lower, price
         has = take > 0
-        whole = int(min(np.floor(amount), (left[has] // take[has]).min()))
-        if whole > 0:
-            plan.append((take, whole))
-            left -= take * whole
-    # what the whole parts leave
+        amount = min(estimate / rounds, STEP * float((counts[has] / take[has]).min()))
+        done += amount / estimate
+        cover += take * amount / counts
+        used.setdefault(take.tobytes(), [take, 0.0])[1] += amount
+    mean /= r
+    return [(take, amount) for take, amount in used.values()], mean if float((mean * counts).sum()) > bound else best
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[list[tuple[np.ndarray, int]], int, np.ndarray]:
+    """(configurations with their number of containers, containers that the program gave, prices) for classes of given sizes and counts.
+
+    Amounts are rounded to whole numbers along their running sum, largest first, as far as there are items; then
+    the program is solved again for the items left, until it gives no more. The few items after that are packed by one
+    knapsack a container. Items that fit with no other have a container each, with the price 1.
+    """
+    left, prices, rounds = counts.astype(np.int64).copy(), sizes / room, ROUNDS
+    alone = sizes + sizes.min(initial=room) > room
+    plan = [(np.eye(1, len(sizes), i, dtype=np.int64)[0], int(left[i])) for i in np.flatnonzero(alone)]
+    given = int(left[alone].sum())
+    left[alone], prices[alone], first = 0, 1.0, True
+    while len(open_ := np.flatnonzero(left)):
+        amounts, price = program(sizes[open_], left[open_], room, rounds)
+        if first:
+            prices[open_], first = price, False
+        running, before = 0.0, given
+        for take, amount in sorted(amounts, key=lambda x: -x[1]):
+            whole = int(running + amount + 1e-9) - int(running + 1e-9)
+            running += amount
+            has = take > 0
+            whole = min(whole, int((left[open_[has]] // take[has]).min()))
+            if whole > 0:
+                full = np.zeros(len(sizes), np.int64)
+                full[open_] = take
+                plan.append((full, whole))
+                left -= full * whole
+                given += whole
+        rounds = LATER_ROUNDS
+        if given - before <= FEW:
+            break
     while left.any():
         open_ = np.flatnonzero(left)
-        price = base[open_] * (1 + 0.25 * left[open_] / left[open_].max() + 0.25 * base[open_])
+        base = sizes[open_] / room
+        price = base * (1 + 0.25 * left[open_] / left[open_].max() + 0.25 * base)
         take = np.zeros(len(sizes), np.int64)
         take[open_] = np.minimum(knapsack(sizes[open_], price, room), left[open_])
         space = room - int((take * sizes).sum())
@@ -104,7 +147,7 @@ def solve(sizes: np.ndarray, counts: np.ndarray, room: int, rounds: int = ROUNDS
         whole = max(1, int((left[has] // take[has]).min()))
         plan.append((take, whole))
         left -= take * whole
-    return plan, bound
+    return plan, given, prices
 
 
 def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, separator: int, grid: int = GRID) -> tuple[Plan, int]:
@@ -116,7 +159,7 @@ def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, separator:
     cells = room // step
     over = classes > cells  # rounding up alone must not push an item out
     sizes = np.where(over, cells, classes)
-    configurations, bound = solve(sizes, number, cells)
+    configurations, given, prices = solve(sizes, number, cells)
     start, first, each = ({int(c): [] for c in classes} for _ in range(3))
     taken, container = np.zeros(len(classes), np.int64), 0
     for take, whole in configurations:
@@ -127,9 +170,29 @@ def make_plan(lengths: np.ndarray, counts: np.ndarray, capacity: int, separator:
             each[c].append(take[i])
             taken[i] += take[i] * whole
         container += whole
-    true_bound = -(-int(((lengths + separator) * counts).sum()) // room) if len(lengths) else 0
     as_arrays = [{c: np.array(v, np.int64) for c, v in x.items()} for x in (start, first, each)]
-    return Plan(*as_arrays, container, true_bound), step
+    return Plan(*as_arrays, container, given, _lower_bound(lengths + separator, counts, prices[where] if len(lengths) else lengths, room, step)), step
+
+
+def _lower_bound(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, room: int, step: int) -> int:
+    """Containers that no packing can go below: the volume, or the dual value of the prices.
+
+    Items that fit with no other count on their own. For the dual value the lengths are rounded down to the grid, so that it holds
+    for the true lengths as well.
+    """
+    if not len(lengths):
+        return 0
+    alone = lengths + lengths.min() > room
+    own = int(counts[alone].sum())
+    lengths, counts, prices = lengths[~alone], counts[~alone], prices[~alone]
+    if not len(lengths):
+        return own
+    volume = -(-int((lengths * counts).sum()) // room)
+    cells, where = np.unique(lengths // step, return_inverse=True)
+    top = np.zeros(len(cells))
+    np.maximum.at(top, where, prices)
+    most = float(top @ knapsack(cells, top, room // step)) if cells[0] > 0 else np.inf
+    return own + max(volume, int(np.ceil((prices * counts).sum() / most - 1e-6)))
 
 
 def _assign(plans: dict[str, Plan]):
@@ -156,8 +219,8 @@ def pack(sizes: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     containers(profile, doc_id, piece, first_token, n_tokens, container_id): one row for each text, or for each piece
     of a text that exceeds the capacity. A text without tokens (null or empty) takes no room and has a null
-    container. report(profile, items, tokens, containers, least_containers, fill): ``least_containers`` is the volume
-    bound that no packing can beat, ``fill`` the share of all room that holds tokens or needed separators. Profiles
+    container. report(profile, items, tokens, containers, from_program, least_containers, fill): ``from_program`` counts the
+    containers of the rounded linear program, ``least_containers`` is a bound that no packing can beat, ``fill`` the share of all room that holds tokens or needed separators. Profiles
     with a null or non-positive capacity are left out; a null separator counts 0.
     """
     spark = sizes.sparkSession
@@ -187,14 +250,14 @@ def pack(sizes: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
         plans[profile], _ = make_plan(lengths, number, capacity, separator)
         k, tokens = plans[profile].containers, int((lengths * number).sum())
         held = tokens + separator * (int(number.sum()) - k)
-        facts.append((profile, int(number.sum()), tokens, k, plans[profile].bound, round(held / (k * capacity), 6) if k else None))
+        facts.append((profile, int(number.sum()), tokens, k, plans[profile].from_program, plans[profile].bound, round(held / (k * capacity), 6) if k else None))
         total += int(number.sum())
     slices = max(1, total // ROWS_A_SLICE)
     ranked = running_total(items, ["profile", "kind"], ["doc_id", "piece"], F.lit(1), "rank", slices)
     schema = "profile string, doc_id bigint, piece int, first_token bigint, n_tokens int, container_id bigint"
     placed = ranked.select("profile", "doc_id", "piece", "first_token", "n_tokens", "kind", "rank").mapInArrow(_assign(plans), schema)
     empty = pieces.where("n_tokens <= 0").select("profile", "doc_id", "piece", "first_token", F.lit(0).alias("n_tokens"), F.lit(None).cast("bigint").alias("container_id"))
-    report = spark.createDataFrame(facts, "profile string, items bigint, tokens bigint, containers bigint, least_containers bigint, fill double")
+    report = spark.createDataFrame(facts, "profile string, items bigint, tokens bigint, containers bigint, from_program bigint, least_containers bigint, fill double")
     return placed.unionByName(empty), report
 
 
