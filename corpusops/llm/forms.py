@@ -45,6 +45,7 @@ class Tables:
         self.ccc = np.zeros(TOP, np.uint8)
         self.alnum = np.zeros(TOP, bool)
         self.letter = np.zeros(TOP, bool)
+        #: Lower case of the compatibility form, where it is one character: for comparisons of words only.
         self.lower = np.arange(TOP, dtype=np.uint32)
         self.script = np.zeros(TOP, np.uint8)
         pairs: dict[int, int] = {}
@@ -80,7 +81,7 @@ class Tables:
             self.ccc[cp] = unicodedata.combining(ch)
             self.alnum[cp] = kind[0] in "LNM"
             self.letter[cp] = kind[0] in "LM"
-            small = ch.lower()
+            small = unicodedata.normalize("NFKC", ch).lower()
             if len(small) == 1:
                 self.lower[cp] = ord(small)
             if cp not in alike and kind[0] == "L" and (0x370 <= cp < 0x530 or 0x1F00 <= cp < 0x2000):

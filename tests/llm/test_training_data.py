@@ -231,8 +231,8 @@ def test_leaks_against_brute_force(spark):
         return {tuple(w[i : i + 20]) for i in range(len(w) - 19)}
 
     want = {(d, i) for d, text in docs if d is not None for i, q in items if runs_of(text) & runs_of(q)}
-    for block in (4000, 7):
-        got = leak.leaked_items(spark_docs, "doc_id", "text", spark_items, "item_id", "question", block=block)
+    for bits, many in ((24, spark_items), (16, spark_items.repartition(5))):
+        got = leak.leaked_items(spark_docs, "doc_id", "text", many, "item_id", "question", most_bits=bits)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want) > 8
     assert rows(leak.leaked_items(spark_docs, "doc_id", "text", spark_items.limit(0), "item_id", "question")) == []
 
