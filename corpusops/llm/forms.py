@@ -4,8 +4,8 @@ Method. The texts of an Arrow batch are copied into one numpy array of code poin
 its expansion (canonical decomposition, full-width and other typographic variants of the same letter, ligatures, spaces, nothing
 for invisible characters, the Latin letter for a look-alike); gathers with expansion offsets apply them. Marks are put
 into canonical order and composed with their letters in vector steps, one for each further mark of a letter. Words that
-hold a letter found only in Cyrillic or Greek get the letters of that script back, so foreign text stays itself. No call
-is made per row or string. Rows that hold no character of concern are not touched.
+hold a letter found only in another script with look-alikes get the letters of that script back, so foreign text stays itself. No
+call is made per row or string. Rows that hold no character of concern are not touched.
 
 Letter case, accents and all visible differences are kept: superscripts, fractions, mathematical alphabets, dashes of other
 lengths and quotation marks stay as they are.
@@ -25,9 +25,16 @@ from pyspark.sql.types import StringType
 from corpusops.llm import words as W
 from corpusops.runtime import written
 
-# Letters that readers cannot tell from a Latin one.
-CYRILLIC = dict(zip("АВСЕНІЈКМОРЅТХУԚԜасеһіјорѕхуԁԛԝѵ", "ABCEHIJKMOPSTXYQWacehijopsxydqwv"))
-GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
+# Letters that common typefaces draw as a Latin one, by script; after the script the code points of its letters.
+# The rule: the same strokes at the same height, so that a reader cannot tell them from the Latin letter. Greek alpha, iota or the
+# dotless i are told apart and stay.
+ALIKE = (
+    (range(0x400, 0x530), dict(zip("АВСЕНІЈКМОРЅТХУҮӀԌԚԜасеһіјорѕхуүӏԁԛԝѵ", "ABCEHIJKMOPSTXYYIGQWacehijopsxyyldqwv"))),
+    (range(0x370, 0x400), dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνορϲϳ", "ABEZHIKMNOPTYXvopcj"))),
+    (range(0x531, 0x590), dict(zip("ՍՏՕհոսօ", "USOhnuo"))),
+    (range(0x13A0, 0x1400), dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏒᏔᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZ4RWVSLCPKB"))),
+    (range(0xA4D0, 0xA500), dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))),
+)
 # Hyphens drawn as the ASCII one; invisible characters beside those of category Cf.
 HYPHENS = "‐‑"
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍ㅤﾠ"
@@ -40,7 +47,8 @@ class Tables:
     """Lookup tables over all code points, built from the Unicode data of the interpreter by the rules above."""
 
     def __init__(self) -> None:
-        alike = {ord(a): ord(b) for a, b in (CYRILLIC | GREEK).items()}
+        alike = {ord(a): ord(b) for _, table in ALIKE for a, b in table.items()}
+        alike[0x1C3] = 0x21  # the click letter drawn as an exclamation mark
         expansion: dict[int, tuple[int, ...]] = {}
         self.ccc = np.zeros(TOP, np.uint8)
         self.alnum = np.zeros(TOP, bool)
@@ -84,8 +92,10 @@ class Tables:
             small = unicodedata.normalize("NFKC", ch).lower()
             if len(small) == 1:
                 self.lower[cp] = ord(small)
-            if cp not in alike and kind[0] == "L" and (0x370 <= cp < 0x530 or 0x1F00 <= cp < 0x2000):
-                self.script[cp] = 1 if 0x400 <= cp < 0x530 else 2
+            if cp not in alike and kind[0] == "L":
+                for k, (letters, _) in enumerate(ALIKE, 1):
+                    if cp in letters or (k == 2 and 0x1F00 <= cp < 0x2000):
+                        self.script[cp] = k
             expand(cp)
             own = unicodedata.decomposition(ch)
             if own and own[0] != "<" and len(own.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
@@ -113,8 +123,8 @@ class Tables:
         self.second = np.zeros(TOP, bool)
         self.second[seconds] = True
         self.back = {}
-        for s, table in ((1, CYRILLIC), (2, GREEK)):
-            back = {ord(b): ord(a) for a, b in table.items()}
+        for s, (_, table) in enumerate(ALIKE, 1):
+            back = {ord(b): ord(a) for a, b in reversed(table.items())}  # of two letters for one, the first
             for cp, to in list(back.items()):  # accented letters too
                 for mark in (0x300, 0x301, 0x306, 0x308):
                     key, made = cp << 21 | mark, to << 21 | mark
@@ -198,7 +208,7 @@ def _compose(cps: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scripts(cps: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Gives words with a letter found only in Cyrillic or Greek the letters of that script."""
+    """Gives words with a letter found only in one of the scripts of ALIKE the letters of that script."""
     t = tables()
     script = t.script[cps]
     if not script.any():
@@ -208,7 +218,7 @@ def _scripts(cps: np.ndarray, row: np.ndarray) -> np.ndarray:
     start[1:] &= ~letter[:-1] | (row[1:] != row[:-1])
     word = np.cumsum(start)
     done = np.zeros(word[-1] + 1, bool)
-    for s in (1, 2):
+    for s in t.back:
         mine = np.zeros(word[-1] + 1, bool)
         mine[word[script == s]] = True
         mine &= ~done
@@ -272,13 +282,16 @@ def fold_all(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rows, out, ooff = fold(cps, coff)
     if not len(rows):
         return cps, coff
-    kept = np.split(cps, np.stack([coff[rows], coff[rows + 1]], 1).reshape(-1))
-    new = [kept[0]]
-    for i in range(len(rows)):
-        new += [out[ooff[i] : ooff[i + 1]], kept[2 * i + 2]]
     size = np.diff(coff)
+    stay = np.ones(len(size), bool)
+    stay[rows] = False
+    kept = np.repeat(stay, size)
     size[rows] = np.diff(ooff)
-    return np.concatenate(new), np.concatenate([[0], np.cumsum(size)])
+    new = np.empty(int(size.sum()), np.uint32)
+    place = np.repeat(stay, size)
+    new[place] = cps[kept]
+    new[~place] = out
+    return new, np.concatenate([[0], np.cumsum(size)])
 
 
 def consistent_forms(texts: pa.Array) -> pa.Array:
@@ -293,10 +306,10 @@ def consistent_forms(texts: pa.Array) -> pa.Array:
         rows, out, ooff = fold(cps, coff)
         if not len(rows):
             continue
-        same_size = np.diff(ooff) == (coff[rows + 1] - coff[rows])
-        differs = ~same_size
-        for r in np.flatnonzero(same_size):  # rows of concern that stay as they are, most of them in another script
-            differs[r] = not np.array_equal(out[ooff[r] : ooff[r + 1]], cps[coff[rows[r]] : coff[rows[r] + 1]])
+        differs = np.diff(ooff) != (coff[rows + 1] - coff[rows])
+        same = np.flatnonzero(~differs)  # rows of concern of which many stay as they are, most of them in another script
+        new, old = out[W.positions_in_runs(ooff[same], ooff[same + 1])], cps[W.positions_in_runs(coff[rows[same]], coff[rows[same] + 1])]
+        differs[np.repeat(same, np.diff(ooff)[same])[new != old]] = True
         width = 1 + (out > 0x7F).astype(np.int64) + (out > 0x7FF) + (out > 0xFFFF)
         bytes_at = np.concatenate([[0], np.cumsum(width)])[ooff]
         data = out.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
@@ -321,18 +334,31 @@ def consistent_form(text: Column) -> Column:
     return F.coalesce(_forms(text), text)
 
 
+def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, form, own): digests of the consistent form and of the text itself, written once. Null ids and null texts take no part."""
+    return written(
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+        .where(F.col("id").isNotNull() & F.col("t").isNotNull())
+        .withColumn("f", consistent_form(F.col("t")))
+        .select("id", F.unhex(F.md5("f")).alias("form"), F.unhex(F.md5("t")).alias("own"))
+    )
+
+
+def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, class_id, variants, class_size) of every row with a text: the least id of its consistent form, the different strings and the rows of the form."""
+    rows = _digests(df, id_col, text_col)
+    kinds = rows.groupBy("form", "own").agg(F.min("id").alias("least"), F.count("*").alias("n"))  # copies of a string are one row before forms meet
+    classes = kinds.groupBy("form").agg(F.min("least").alias("class_id"), F.count("*").alias("variants"), F.sum("n").alias("class_size"))
+    return rows.select("id", "form").join(classes, "form").select("id", "class_id", "variants", "class_size")
+
+
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b: rows whose texts are different strings of one consistent form.
 
     Only digests are shuffled. Equal strings are one variant, and forms with a single variant are left out before any
     join, so a group of copies of any size costs one row a partition. Null ids and null texts take no part.
     """
-    rows = written(
-        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-        .where(F.col("id").isNotNull() & F.col("t").isNotNull())
-        .withColumn("f", consistent_form(F.col("t")))
-        .select("id", F.unhex(F.md5("f")).alias("form"), F.unhex(F.md5("t")).alias("own"))
-    )
+    rows = _digests(df, id_col, text_col)
     several = rows.groupBy("form").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("form")
     varied = rows.join(several, "form")
     # variants are paired before their rows, so the copies of one string never meet each other

@@ -5,12 +5,11 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from corpusops.llm import forms
-
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
-_ALIKE = forms.CYRILLIC | forms.GREEK | {"ё": "ë", "Ё": "Ë"}
-_FROM = "".join(_ALIKE) + _WIDE + "‐‑"
-_TO = "".join(_ALIKE.values()) + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "--"
+# Fixed values, kept apart from the operator's: letters that look like the Latin ones below them.
+_LETTERS = "аАВсСеЕНһіІјЈКМоОрРѕЅТхХуУԁԛԚԝԜѵӏӀΑΒΕΖΗΙΚΜΝνοΟρΡΤΥΧϲϳհոսօՍՕёЁ"
+_LATIN = "aABcCeEHhiIjJKMoOpPsSTxXyYdqQwWvlIABEZHIKMNvoOpPTYXcjhnuoUOëË"
+_FROM, _TO = _LETTERS + _WIDE + "‐‑", _LATIN + "".join(chr(ord(c) - 0xFEE0) for c in _WIDE) + "--"
 
 
 def form_sql(text: str) -> str:
@@ -34,9 +33,9 @@ def nfkc_sql(text: str) -> str:
 
 _WORDS_20 = "array_to_string(w[i:i+19], ' ')"
 _P6 = rf"""
-e AS (SELECT item_id, regexp_extract_all(lower({form_sql('question')}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM eval_items),
+e AS (SELECT item_id, regexp_extract_all(lower({nfkc_sql(form_sql('question'))}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM eval_items),
 ew AS (SELECT DISTINCT item_id, {_WORDS_20} AS x FROM (SELECT item_id, w, unnest(range(1, len(w) - 18)) AS i FROM e)),
-d AS (SELECT doc_id, regexp_extract_all(lower({form_sql('text')}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM documents WHERE text IS NOT NULL),
+d AS (SELECT doc_id, regexp_extract_all(lower({nfkc_sql(form_sql('text'))}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT DISTINCT doc_id, {_WORDS_20} AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
 found AS (SELECT DISTINCT doc_id, item_id FROM dw JOIN ew USING (x))"""
 
@@ -76,5 +75,6 @@ ORACLE = {
     "p4_found": f"SELECT id_a AS row_id_a, id_b AS row_id_b FROM ({_near(_PREPARED, 'true')})",
     "p6_found": f"WITH {_P6} SELECT doc_id, item_id FROM found",
     "p6_report": f"WITH {_P6} SELECT suite, count(DISTINCT e.item_id) AS items, count(DISTINCT found.item_id) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items e LEFT JOIN found ON found.item_id = e.item_id GROUP BY suite",
+    "p7_classes": f"WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) SELECT doc_id, min(doc_id) OVER w AS class_id, n AS variants, CAST(count(*) OVER w AS BIGINT) AS class_size FROM f JOIN (SELECT form, count(DISTINCT text) AS n FROM f GROUP BY form) USING (form) WINDOW w AS (PARTITION BY form)",
     "p7_found": f"WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
 }

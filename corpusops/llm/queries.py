@@ -89,9 +89,13 @@ def p7_found(spark, sf_dir):
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p7_classes(spark, sf_dir):
+    return forms.look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def p7_forms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", forms.consistent_form(F.col("text")).alias("form"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_forms)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p1_report, p2_mix, p2_shares, p3_found, p3_report, p4_found, p4_groups, p5_containers, p5_report, p6_found, p6_report, p7_found, p7_classes, p7_forms)}

@@ -186,7 +186,7 @@ def test_forms_agree_with_canonical_composition():
 @pytest.mark.parametrize(
     "text, form",
     [("Ｆｕｌｌ １２", "Full 12"), ("Ѕаlе", "Sale"), ("ﬁ ﬂ ﬀ", "fi fl ff"), ("a​b­c﻿", "abc"), ("a b c", "a b c"), ("é", "é"), ("ÅK", "ÅK"), ("x‑y", "x-y"), ("a\r\nb\rc", "a\nb\nc"),
-     ("Привет", None), ("Пpивeт", "Привет"), ("ёлка", "ёлка"), ("x² ½ ſ", None), ("plain", None), ("", None), ("ё", "ë")],
+     ("Привет", None), ("Пpивeт", "Привет"), ("ёлка", "ёлка"), ("x² ½ ſ", None), ("օνеr ꓮꓐ Ꭺ", "over AB A"), ("բօլօր", None), ("ı", None), ("Αθήνα νέα", None), ("plain", None), ("", None), ("ё", "ë")],
 )
 def test_forms(text, form):
     assert forms.consistent_forms(pa.array([text])).to_pylist() == [form]
@@ -205,6 +205,7 @@ def test_look_alike_pairs(spark):
     df = spark.createDataFrame(data, "doc_id bigint, text string, form string")
     assert rows(forms.look_alike_pairs(df, "doc_id", "text")) == [(1, 2), (1, 3), (2, 3), (2, 4), (3, 4)]
     assert rows(forms.look_alike_pairs(df.limit(0), "doc_id", "text")) == []
+    assert rows(forms.look_alike_classes(df, "doc_id", "text")) == sorted([(1, 1, 3, 4), (2, 1, 3, 4), (3, 1, 3, 4), (4, 1, 3, 4), (5, 5, 1, 1), (7, 7, 1, 2), (8, 7, 1, 2)], key=str)
 
 
 def test_leaks_against_brute_force(spark):
