@@ -35,12 +35,13 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
 
     placements(mix_name, slot, offset_in_slot, source, source_subtype, id, repeat_no, tokens): a mix in order of
     (slot, offset_in_slot, id, repeat_no). report: one row for each target, with the rows, repeats and tokens placed, the share
-    reached and the tokens there are; a target without rows reports zeros. A target without a subtype takes the whole source
+    asked, the same scaled to the sources that exist, the share reached and the tokens there are; a target without rows reports zeros. A target without a subtype takes the whole source
     but for subtypes that the same mix lists on their own. Null tokens count 0, a null cap is 1, a null share 0. Rows
     without an id or source take no part.
     """
     spark = rows.sparkSession
-    settings = targets.select("mix_name", "source", "source_subtype", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"), label(F.col("source")).alias("src"), label(F.col("source_subtype")).alias("sub")).collect()
+    settings = targets.select("mix_name", "source", "source_subtype", F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(1)).alias("cap"), label(F.col("source")).alias("src"), label(F.col("source_subtype")).alias("sub")).collect()  # a table of settings
+    settings = sorted(settings, key=lambda r: tuple("" if x is None else x for x in r[:3]))
     wanted = [(i, *r) for i, r in enumerate(settings) if r.mix_name is not None and r.source is not None]
     base = written(
         rows.select("id", label(F.col("source")).alias("src"), F.coalesce(label(F.col("source_subtype")), F.lit("")).alias("sub"), F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens"))
@@ -66,10 +67,10 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
         at = 0.0
         for w in live:
             share = w[4] / scale
-            plan.append((w[0], name, share * total, at, at + share if w is not live[-1] else 2.0, sizes[w[0]][0], slots))
+            plan.append((w[0], name, share * total, at, at + share if w is not live[-1] else 2.0, sizes[w[0]][0], slots, w[5]))
             at += share
         slot_rows.append((name, slots))
-    intervals = F.broadcast(spark.createDataFrame(plan, "target int, mix_name string, need double, low double, high double, size bigint, slots bigint"))
+    intervals = F.broadcast(spark.createDataFrame(plan, "target int, mix_name string, need double, low double, high double, size bigint, slots bigint, cap int"))
     slots = spark.createDataFrame(slot_rows, "mix_name string, slots bigint")
     parts = max(1, sum(n for _, n in slot_rows) // ROWS_A_SLICE)
     longest = max([n for _, n in slot_rows], default=1)
@@ -83,16 +84,16 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
     in_order = F.floor(F.col("slot") / F.lit(max(1, -(-longest // parts))))
     schedule = written(running_total(schedule, ["target"], ["slot"], F.lit(1), "k", parts, key=in_order))
     given = {r[0]: r[1] for r in schedule.groupBy("target").agg(F.count("*")).collect()}
-    blocks = F.broadcast(spark.createDataFrame([(p[0], p[2], p[5], given.get(p[0], 1)) for p in plan], "target int, need double, size bigint, blocks bigint"))
+    blocks = F.broadcast(spark.createDataFrame([(p[0], p[2], p[5], given.get(p[0], 1), p[6]) for p in plan], "target int, need double, size bigint, blocks bigint, cap int"))
 
-    hashed = base.join(chosen.select("src", "sub", "target"), ["src", "sub"]).withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    hashed = base.join(chosen.select("src", "sub", "target"), ["src", "sub"]).withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("id").cast("string"))), 1, 15), 16, 10).cast("bigint"))
     count = max(1, sum(n for _, n in sizes.values()) // ROWS_A_SLICE)
-    streams = running_total(hashed, ["target"], ["h", "id"], F.col("tokens"), "before", count, key=F.pmod("h", F.lit(count)))
+    streams = running_total(hashed, ["target"], ["h", "id"], F.col("tokens"), "before", count, key=F.floor(F.col("h") / F.lit(float(2**60 // count + 1))))
     repeated = (
         streams.join(blocks, "target")
-        .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("need") / F.col("size")).cast("int") - 1))))
+        .withColumn("repeat_no", F.explode(F.sequence(F.lit(0), F.least(F.col("cap"), F.greatest(F.lit(1), F.ceil(F.col("need") / F.col("size")).cast("int"))) - 1)))
         .withColumn("at", F.col("repeat_no") * F.col("size") + F.col("before"))
-        .where("at < need")
+        .where(F.col("at") + F.col("tokens") / 2 <= F.col("need"))  # the row at the end goes to its nearer edge
         .withColumn("k", F.least(F.floor(F.col("at") * F.col("blocks") / F.col("need")), F.col("blocks") - 1))
         .withColumn("offset_in_slot", F.floor(F.col("at") - F.col("k") * F.col("need") / F.col("blocks")).cast("bigint"))
     )
@@ -103,13 +104,14 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = 17) -> tuple[DataFrame,
     )
     by_target = placed.groupBy("target").agg(F.count("*").alias("rows"), (F.max("repeat_no") + 1).alias("most_repeats"), F.sum("tokens").alias("tokens"))
     there = spark.createDataFrame([(t, s, n) for t, (s, n) in sizes.items()], "target int, tokens_there bigint, rows_there bigint")
-    reached = named.join(by_target, "target", "left").join(there, "target", "left")
+    scaled = spark.createDataFrame([(p[0], p[2] / sum(x[2] for x in plan if x[1] == p[1])) for p in plan], "target int, scaled double")
+    reached = named.join(by_target, "target", "left").join(there, "target", "left").join(scaled, "target", "left")
     of_mix = by_target.join(named.select("target", "mix_name"), "target").groupBy("mix_name").agg(F.sum("tokens").alias("mix_tokens"))
     zero = lambda c, kind="bigint": F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
     report = reached.join(of_mix, "mix_name", "left").select(
         "mix_name", "source", "source_subtype", F.col("share").alias("target_share"), F.col("cap").alias("max_repeats"),
         zero("rows_there"), zero("tokens_there"), zero("rows"), zero("most_repeats", "int"), zero("tokens"),
-        F.round(F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("reached_share"),
+        F.round(F.coalesce(F.col("scaled"), F.lit(0.0)), 6).alias("scaled_share"), F.round(F.coalesce(F.col("tokens") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("reached_share"),
     )
     return placed.drop("target"), report
 

@@ -31,6 +31,26 @@ def nfkc_sql(text: str) -> str:
     return f"nfc_normalize(translate({text}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}'))"
 
 
+def _label(c: str) -> str:
+    return rf"regexp_replace(regexp_replace(lower({nfkc_sql(c)}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 's$', '')"
+
+
+_P2 = rf"""
+b AS (SELECT final_id AS id, {_label('source')} AS src, coalesce({_label('source_subtype')}, '') AS sub, coalesce(len(condition_input_ids), 0) + coalesce(len(input_ids), 0) AS tokens FROM final_rows WHERE final_id IS NOT NULL AND source IS NOT NULL),
+t AS (SELECT *, row_number() OVER (ORDER BY mix_name, source, coalesce(source_subtype, '')) AS target, {_label('source')} AS t_src, {_label('source_subtype')} AS t_sub FROM mix_targets WHERE mix_name IS NOT NULL AND source IS NOT NULL),
+c AS (SELECT * FROM (SELECT mix_name, src, sub, target, row_number() OVER (PARTITION BY mix_name, src, sub ORDER BY t_sub IS NULL, target) AS rn FROM (SELECT DISTINCT src, sub FROM b) JOIN t ON src = t_src AND (t_sub IS NULL OR t_sub = sub)) WHERE rn = 1),
+r AS (SELECT c.target, b.id, b.tokens, CAST('0x' || substr(md5('17|' || b.id), 1, 15) AS BIGINT) AS h FROM b JOIN c USING (src, sub)),
+z AS (SELECT target, CAST(sum(tokens) AS BIGINT) AS size, count(*) AS n FROM r GROUP BY target),
+l AS (SELECT t.*, z.size, z.n, target_share / sum(target_share) OVER (PARTITION BY mix_name) AS scaled FROM t JOIN z USING (target) WHERE target_share > 0 AND max_repeats > 0 AND size > 0),
+m AS (SELECT *, min(size * max_repeats / scaled) OVER (PARTITION BY mix_name) AS total FROM l),
+p AS (SELECT *, scaled * total AS need, greatest(4096, CAST(ceil(floor(total) / 65536) AS BIGINT)) AS slots, coalesce(sum(scaled) OVER (PARTITION BY mix_name ORDER BY target ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS low, row_number() OVER (PARTITION BY mix_name ORDER BY target DESC) = 1 AS tail FROM m),
+g AS (SELECT mix_name, slot, (slot + 1) * 0.6180339887498949::DOUBLE - floor((slot + 1) * 0.6180339887498949::DOUBLE) AS u FROM (SELECT mix_name, unnest(range(0, any_value(slots))) AS slot FROM p GROUP BY mix_name)),
+k AS (SELECT target, slot, row_number() OVER (PARTITION BY target ORDER BY slot) - 1 AS k, count(*) OVER (PARTITION BY target) AS blocks FROM g JOIN p USING (mix_name) WHERE u >= low AND (tail OR u < low + scaled)),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY target ORDER BY h, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+e AS (SELECT s.*, p.mix_name, p.need, p.size, unnest(range(0, least(p.max_repeats, greatest(1, CAST(ceil(p.need / p.size) AS INT))))) AS repeat_no FROM s JOIN p USING (target)),
+a AS (SELECT *, repeat_no * size + before AS place FROM e WHERE repeat_no * size + before + tokens / 2 <= need),
+placed AS (SELECT a.*, k.slot, CAST(floor(place - k.k * need / k.blocks) AS BIGINT) AS offset_in_slot FROM a JOIN (SELECT target, any_value(blocks) AS n FROM k GROUP BY target) w USING (target) JOIN k ON k.target = a.target AND k.k = least(floor(a.place * w.n / a.need), w.n - 1))"""
+
 _WORDS_20 = "array_to_string(w[i:i+19], ' ')"
 _P6 = rf"""
 e AS (SELECT item_id, regexp_extract_all(lower({nfkc_sql(form_sql('question'))}), '[\p{{L}}\p{{N}}\p{{M}}]+') AS w FROM eval_items),
@@ -72,6 +92,8 @@ ORACLE = {
     "p1_found": f"SELECT id_a AS final_id_a, id_b AS final_id_b FROM ({_near(_FINAL, 'a.side <> b.side')})",
     "p1_records": f"WITH {_P1} SELECT * FROM records",
     "p1_report": f"WITH {_P1} SELECT split, lower(trim(source)) AS source, count(*) AS rows, count(records.pairs) AS overlapping_rows, CAST(coalesce(sum(records.pairs), 0) AS BIGINT) AS pairs, round(avg(coverage), 6) AS mean_coverage, round(count(records.pairs) / count(*), 6) AS overlapping_share FROM final_rows LEFT JOIN records ON records.final_id = final_rows.final_id AND records.pairs > 0 GROUP BY ALL",
+    "p2_mix": f"WITH {_P2} SELECT placed.mix_name, slot, offset_in_slot, source, source_subtype, id AS final_id, CAST(repeat_no AS INT) AS repeat_no, tokens FROM placed JOIN t USING (target)",
+    "p2_shares": f"WITH {_P2}, y AS (SELECT target, mix_name, count(*) AS rows, CAST(max(repeat_no) + 1 AS INT) AS most_repeats, CAST(sum(tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL) SELECT t.mix_name, t.source, t.source_subtype, coalesce(t.target_share, 0.0) AS target_share, coalesce(t.max_repeats, 1) AS max_repeats, coalesce(z.n, 0) AS rows_there, coalesce(z.size, 0) AS tokens_there, coalesce(y.rows, 0) AS rows, coalesce(most_repeats, 0) AS most_repeats, coalesce(y.tokens, 0) AS tokens, round(coalesce(p.scaled, 0.0), 6) AS scaled_share, round(coalesce(y.tokens / (SELECT sum(tokens) FROM y o WHERE o.mix_name = t.mix_name), 0.0), 6) AS reached_share FROM t LEFT JOIN z USING (target) LEFT JOIN y USING (target) LEFT JOIN p USING (target)",
     "p4_found": f"SELECT id_a AS row_id_a, id_b AS row_id_b FROM ({_near(_PREPARED, 'true')})",
     "p6_found": f"WITH {_P6} SELECT doc_id, item_id FROM found",
     "p6_report": f"WITH {_P6} SELECT suite, count(DISTINCT e.item_id) AS items, count(DISTINCT found.item_id) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items e LEFT JOIN found ON found.item_id = e.item_id GROUP BY suite",
