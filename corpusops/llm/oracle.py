@@ -95,6 +95,9 @@ ORACLE = {
     "p2_mix": f"WITH {_P2} SELECT placed.mix_name, slot, offset_in_slot, source, source_subtype, id AS final_id, CAST(repeat_no AS INT) AS repeat_no, tokens FROM placed JOIN t USING (target)",
     "p2_shares": f"WITH {_P2}, y AS (SELECT target, mix_name, count(*) AS rows, CAST(max(repeat_no) + 1 AS INT) AS most_repeats, CAST(sum(tokens) AS BIGINT) AS tokens FROM placed GROUP BY ALL) SELECT t.mix_name, t.source, t.source_subtype, coalesce(t.target_share, 0.0) AS target_share, coalesce(t.max_repeats, 1) AS max_repeats, coalesce(z.n, 0) AS rows_there, coalesce(z.size, 0) AS tokens_there, coalesce(y.rows, 0) AS rows, coalesce(most_repeats, 0) AS most_repeats, coalesce(y.tokens, 0) AS tokens, round(coalesce(p.scaled, 0.0), 6) AS scaled_share, round(coalesce(y.tokens / (SELECT sum(tokens) FROM y o WHERE o.mix_name = t.mix_name), 0.0), 6) AS reached_share FROM t LEFT JOIN z USING (target) LEFT JOIN y USING (target) LEFT JOIN p USING (target)",
     "p4_found": f"SELECT id_a AS row_id_a, id_b AS row_id_b FROM ({_near(_PREPARED, 'true')})",
+    "p4_groups": f"""WITH RECURSIVE {_linked(_PREPARED)}, q AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+cc(n, m) AS (SELECT rep, rep FROM k UNION SELECT cc.n, q.y FROM cc JOIN q ON cc.m = q.x), roots AS (SELECT n, min(m) AS group_id FROM cc GROUP BY n)
+SELECT r.id AS row_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, (SELECT count(*) FROM q WHERE q.x = k.rep) AS links FROM r JOIN k USING (key) JOIN roots ON roots.n = k.rep""",
     "p6_found": f"WITH {_P6} SELECT doc_id, item_id FROM found",
     "p6_report": f"WITH {_P6} SELECT suite, count(DISTINCT e.item_id) AS items, count(DISTINCT found.item_id) AS leaked_items, count(DISTINCT doc_id) AS documents FROM eval_items e LEFT JOIN found ON found.item_id = e.item_id GROUP BY suite",
     "p7_classes": f"WITH f AS (SELECT doc_id, text, {form_sql('text')} AS form FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL) SELECT doc_id, min(doc_id) OVER w AS class_id, n AS variants, CAST(count(*) OVER w AS BIGINT) AS class_size FROM f JOIN (SELECT form, count(DISTINCT text) AS n FROM f GROUP BY form) USING (form) WINDOW w AS (PARTITION BY form)",
