@@ -8,20 +8,30 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
+from corpusops.functions import words as W
+
+_BETWEEN = "\x1e"
 NON_ASCII = r"[^\x00-\x7F]"
-#: A word of a question key: letters and digits, one decimal part allowed.
+# Fixed value: a word of a question key, letters and digits, one decimal part allowed.
 KEY_WORD = r"[a-z0-9]+(?:\.[0-9]+)?"
 
 
 def _normalizer(form: str):
     @F.arrow_udf(StringType())
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else unicodedata.normalize(form, t) for t in text.to_pylist()], pa.string())
+        rows = text.drop_null().to_pylist()
+        whole = unicodedata.normalize(form, _BETWEEN.join(rows)).split(_BETWEEN)  # one call for a batch; the separator combines with nothing
+        if len(whole) != max(len(rows), 1):  # a text holds the separator
+            whole = [unicodedata.normalize(form, t) for t in rows]
+        at = np.cumsum(text.is_valid().to_numpy(zero_copy_only=False)) - 1
+        return pa.array(whole[: len(rows)], pa.string()).take(pa.array(at, mask=text.is_null().to_numpy(zero_copy_only=False)))
 
     return run
 
@@ -91,6 +101,20 @@ def word_ngrams(words: Column, n: int, distinct: bool = True) -> Column:
     return F.array_distinct(out) if distinct else out
 
 
+def gram_hashes(n: int):
+    """A function of word keys (words joined by single blanks): 64-bit hashes of their word n-grams in order, with repeats; null for null."""
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(keys: pa.Array) -> pa.Array:
+        h, off = W.word_hashes(keys.fill_null(""))
+        g, inside = W.windows(h, off, n)
+        ends = np.concatenate([[0], np.cumsum(np.maximum(np.diff(off) - n + 1, 0))]).astype(np.int32)
+        made = pa.ListArray.from_arrays(pa.array(ends), pa.array(g[inside].view(np.int64)))
+        return pc.if_else(keys.is_valid(), made, pa.scalar(None, made.type)) if keys.null_count else made
+
+    return run
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Jaccard of two sets held as arrays without repeats; 0 when either is empty."""
     both = F.size(F.array_intersect(left, right))

@@ -11,7 +11,7 @@ from corpusops.operators import curate as U
 from corpusops.operators import similarity as S
 from corpusops.operators.graph import connected_components
 from corpusops.operators.ranking import running_total
-from corpusops.plans.registry import query
+from corpusops.plans.registry import nfkc_sql, query
 from corpusops.runtime import written
 
 _PREPARED = """
@@ -151,8 +151,8 @@ def _jaccard_sql(a: str, b: str) -> str:
 @query(f"""
 WITH k AS (SELECT DISTINCT question_key AS key FROM prepared_rows WHERE question_key <> ''),
 w AS (SELECT key, string_split(key, ' ') AS w FROM k), g AS (SELECT key, {_gram_sql('w', 5)} AS g5, {_gram_sql('w', 8)} AS g8 FROM w),
-e AS (SELECT key, unnest(g5) AS x FROM g), f AS (SELECT x FROM e GROUP BY x HAVING count(*) BETWEEN 2 AND 60),
-c AS (SELECT DISTINCT a.key AS l, b.key AS r FROM e a JOIN f USING (x) JOIN e b ON a.x = b.x WHERE a.key < b.key),
+e AS (SELECT key, unnest(g5) AS x FROM g), n AS (SELECT DISTINCT least(a.key, b.key) AS l, greatest(a.key, b.key) AS r FROM k a JOIN k b ON contains(b.key, a.key) AND a.key <> b.key AND length(a.key) >= 0.9 * length(b.key)),
+c AS (SELECT DISTINCT a.key AS l, b.key AS r FROM e a JOIN e b ON a.x = b.x WHERE a.key < b.key UNION SELECT l, r FROM n),
 s AS (SELECT l, r, CASE WHEN contains(r, l) OR contains(l, r) THEN least(length(l), length(r)) / greatest(length(l), length(r)) ELSE 0.0 END AS cover, {_jaccard_sql('p.g5', 'q.g5')} AS j5, {_jaccard_sql('p.g8', 'q.g8')} AS j8 FROM c JOIN g p ON p.key = l JOIN g q ON q.key = r)
 SELECT l AS "left", r AS "right", CASE WHEN cover >= 0.9 THEN 'substring' WHEN j5 >= 0.55 THEN 'word_5gram' ELSE 'word_8gram' END AS reason, round(cover, 6) AS coverage, round(j5, 6) AS five, round(j8, 6) AS eight FROM s WHERE cover >= 0.9 OR j5 >= 0.55 OR j8 >= 0.4""")
 def similar_question_pairs(spark, t):
@@ -188,7 +188,7 @@ def contamination_matches(spark, t):
     return S.contamination_matches(t("prepared_rows"), "question_key", _references(t), "key", 0.85).select("candidate", "reference", "reason")
 
 
-_LINES = r"SELECT DISTINCT array_to_string(regexp_extract_all(lower(line), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+_LINES = rf"SELECT DISTINCT array_to_string(regexp_extract_all(lower({nfkc_sql('line')}), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS key FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
 
 
 @query("WITH " + _MATCH.replace("SELECT DISTINCT question_key AS key FROM prepared_rows WHERE question_key <> ''", f"SELECT key FROM ({_LINES}) WHERE key <> ''") + " SELECT * FROM m")
@@ -213,9 +213,8 @@ c AS (SELECT DISTINCT row_id, item_id FROM (SELECT row_id, unnest(g) AS x FROM g
 s AS (SELECT row_id, item_id, {_jaccard_sql('gp.g', 'ge.g')} AS j, list_min(list_intersect(gp.g, ge.g)) AS evidence FROM c JOIN gp USING (row_id) JOIN ge USING (item_id))
 SELECT row_id, arg_min(item_id, item_id) AS item_id, round(arg_min(j, item_id), 6) AS jaccard, arg_min(evidence, item_id) AS evidence FROM s WHERE j >= 0.5 GROUP BY row_id""")
 def contamination_8gram(spark, t):
-    rows = t("prepared_rows").where("question_key <> ''").select("row_id", F.split("question_key", " ").alias("w"))
-    tasks = _references(t).select("item_id", F.split("key", " ").alias("w"))
-    return S.gram_contamination(rows, "row_id", "w", tasks, "item_id", "w").select(F.col("id").alias("row_id"), F.col("task_id").alias("item_id"), F.round("jaccard", 6).alias("jaccard"), "evidence")
+    rows = t("prepared_rows").where("question_key <> ''").select("row_id", "question_key")
+    return S.gram_contamination(rows, "row_id", "question_key", _references(t), "item_id", "key").select(F.col("id").alias("row_id"), F.col("task_id").alias("item_id"), F.round("jaccard", 6).alias("jaccard"), "evidence")
 
 
 @query(f"SELECT p.row_id, min(e.task_id) AS task_id FROM prepared_rows p JOIN eval_items e ON p.question_key = {_EVAL_KEY} GROUP BY 1")

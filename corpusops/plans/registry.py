@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from corpusops.runtime import table
 
+def nfkc_sql(text: str) -> str:
+    """DuckDB expression for the NFKC of a text whose compatibility forms stand for one character, a ligature or a fraction."""
+    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, 0x1F000) if unicodedata.decomposition(chr(c)).startswith("<")]
+    single = [(a, b) for a, b in pairs if len(b) == 1 and b != "'"]
+    for wide in "ﬀﬁﬂﬃﬄ½¼¾":
+        text = f"replace({text}, '{wide}', '{unicodedata.normalize('NFKC', wide)}')"
+    return f"nfc_normalize(translate({text}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}'))"
+
+
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
 

@@ -93,6 +93,25 @@ def test_similarity_join_is_exact(spark):
     assert rows(got, "left", "right") == sorted(want, key=str) and len(want) > 10
 
 
+def test_few_long_words_within_many_and_repeated_grams(spark):
+    """Five words of 60 letters within 15 words, and a key that repeats one gram all over."""
+    long = " ".join(c * 60 for c in "abcde")
+    again = "z " * 9 + "z"
+    pairs = [(long, long + " i j k l m n o p q r"), (again, again + " z"), ("a b", "xa b")]
+    got = S.similar_pairs(spark.createDataFrame([(k,) for p in pairs for k in p], "k string"), "k", 0.6)
+    found = {(r.left, r.right) for r in got.collect()}
+    assert {tuple(sorted(p)) for p in pairs} <= found
+    cross = S.contamination_matches(spark.createDataFrame([(p[0],) for p in pairs], "k string"), "k", spark.createDataFrame([(p[1],) for p in pairs], "k string"), "k", 0.6)
+    assert {tuple(p) for p in pairs} <= {(r.candidate, r.reference) for r in cross.collect()}
+
+
+def test_minhash_recall_against_the_exact_join(spark):
+    d = spark.createDataFrame([(k,) for k in near_texts(150, 3)], "k string")
+    exact = {(r.left, r.right) for r in S.similar_pairs(d, "k", 0.9).where("word_5gram_jaccard >= 0.55").collect()}
+    found = {tuple(r) for r in S.minhash_candidates(d, "k").collect()}
+    assert len(exact) > 20 and len(exact & found) >= 0.98 * len(exact)
+
+
 def test_contamination_join_is_exact(spark):
     a, b = sorted(set(near_texts(40, 1))), sorted(set(near_texts(40, 1)[::3] + near_texts(10, 2)))
     frame = lambda x: spark.createDataFrame([(k,) for k in x], "k string")
