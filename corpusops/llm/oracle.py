@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import sys
-import unicodedata
+from corpusops.plans.registry import nfkc_sql
 
 _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 # Fixed values, kept apart from the operator's: letters that look like the Latin ones below them.
@@ -22,15 +21,6 @@ def form_sql(text: str) -> str:
     return f"nfc_normalize(translate(nfc_normalize({out}), '{_FROM}', '{quoted}'))"
 
 
-def nfkc_sql(text: str) -> str:
-    """NFKC of a text whose compatibility forms stand for one character or for a ligature."""
-    pairs = [(chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0xA0, min(0x1F000, sys.maxunicode)) if unicodedata.decomposition(chr(c)).startswith("<")]
-    single = [(a, b) for a, b in pairs if len(b) == 1 and b not in "'"]
-    for wide in "ﬀﬁﬂﬃﬄ½¼¾":
-        text = f"replace({text}, '{wide}', '{unicodedata.normalize('NFKC', wide)}')"
-    return f"nfc_normalize(translate({text}, '{''.join(a for a, _ in single)}', '{''.join(b for _, b in single)}'))"
-
-
 def _label(c: str) -> str:
     return rf"regexp_replace(regexp_replace(lower({nfkc_sql(c)}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 's$', '')"
 
