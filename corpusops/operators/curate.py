@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusops.operators.ranking import running_total
+from corpusops.runtime import written
 
 PAIR_LIMIT = 100_000
 # The judged fields and the length of a test list.
@@ -61,23 +62,27 @@ def composition(df: DataFrame, source: str, question: str, source_question: str)
 
 
 def quality_reason(judgement: str, tests: str, statuses: str, score: str, least: int = 4) -> Column:
-    """'' or why a judged code row is refused; malformed metadata has its own reasons, checked in order.
+    """'' or why a judged code row is refused: a score below ``least``, or an average score that is not a tenth of the passes.
 
-    Scores must be JSON integers of 1 to 5 with a justification, ten tests and ten pass/fail states, and the average score
-    ten times the passes. A score below ``least`` is refused last but one.
+    Metadata that is there but malformed raises an error: scores must be JSON integers of 1 to 5 with a justification, ten tests and
+    ten pass/fail states. A null in any of the four gives 'missing_metadata'.
     """
     field = lambda f, x: F.get_json_object(judgement, f"$.{f}.{x}")
     known = F.json_object_keys(judgement)
     states, texts = F.from_json(statuses, "array<string>"), F.from_json(tests, "array<string>")
     passed = F.size(F.filter(states, lambda s: s == "pass"))
     any_of = lambda f: F.exists(F.array(*map(f, JUDGED)), lambda x: x)
-    return first_reason(
+    malformed = first_reason(
         F.when(known.isNull() | states.isNull() | texts.isNull(), "invalid_serialized_metadata"),
         F.when(any_of(lambda f: ~F.array_contains(known, f)), "invalid_judgement_fields"),
         F.when(any_of(lambda f: ~F.coalesce(field(f, "score").rlike(r"\A[1-5]\z"), F.lit(False))), "invalid_judgement_score"),
         F.when(any_of(lambda f: F.coalesce(F.trim(field(f, "justification")), F.lit("")) == ""), "invalid_judgement_justification"),
         F.when(F.size(texts) != TESTS, "invalid_unit_tests"),
         F.when((F.size(states) != TESTS) | F.exists(states, lambda s: ~s.isin("pass", "fail")), "invalid_test_statuses"),
+    )
+    return first_reason(
+        F.when(F.col(judgement).isNull() | F.col(tests).isNull() | F.col(statuses).isNull() | F.col(score).isNull(), "missing_metadata"),
+        F.when(malformed != "", F.raise_error(malformed).cast("string")),
         F.when(any_of(lambda f: field(f, "score").try_cast("int") < least), f"judge_score_below_{least}"),
         F.when(F.coalesce(F.col(score).try_cast("decimal(12,6)") * 10, F.lit(-1)) != passed, "inconsistent_average_test_score"),
     )
@@ -98,17 +103,39 @@ def linked_pairs(df: DataFrame, key: str, source_key: str) -> DataFrame:
 def group_ids(components: DataFrame, prefix: str = "problem_") -> DataFrame:
     """Adds problem_group_id to (node, component): numbered from 0 by the order of the components' least members.
 
-    Components are ranked in ranges of their order, so no task sees them all.
+    Components are ranked within sampled ranges of their order, written once, so no task sees them all.
     """
-    roots = components.select("component").distinct().withColumn("__head", F.substring("component", 1, 2)).withColumn("__all", F.lit(0))
-    heads = roots.groupBy("__head").agg(F.count("*").alias("m"))
-    before = Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1)  # one row for each pair of first characters
-    starts = heads.select("__head", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("__head").orderBy("component")
-    numbered = roots.join(starts, "__head").withColumn("number", F.col("start") + F.row_number().over(inside) - 1)
+    parts = max(int(components.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    roots = written(components.select("component").distinct().repartitionByRange(parts, "component").withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = roots.groupBy("__part").agg(F.count("*").alias("m")).select("__part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("__part").orderBy("component")
+    numbered = roots.join(F.broadcast(starts), "__part").withColumn("number", F.col("start") + F.row_number().over(inside) - 1)
     return components.join(numbered.select("component", "number"), "component").withColumn("problem_group_id", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 8, "0"))).drop("number")
 
 
+def attach_groups(df: DataFrame, key: str, groups: DataFrame) -> DataFrame:
+    """Adds problem_group_id from groups(node, problem_group_id) by the row's key; a row whose key has no group raises an error."""
+    known = groups.select(F.col("node").alias(key), "problem_group_id")
+    missing = F.raise_error(F.concat(F.lit("no group for the key "), F.coalesce(F.col(key), F.lit("null"))))
+    return df.join(known, key, "left").withColumn("problem_group_id", F.coalesce("problem_group_id", missing.cast("string")))
+
+
+def whole_groups(df: DataFrame, key: str, group: str, chosen: DataFrame) -> DataFrame:
+    """(group) of every row whose key is among the chosen ones: a sample of keys is taken to all of their groups."""
+    return df.join(chosen.select(F.col("key").alias(key)).distinct(), key, "left_semi").select(group).where(F.col(group).isNotNull()).distinct()
+
+
+def require_split(df: DataFrame, group: str, split: str, sides: tuple[str, str] = ("train", "validation")) -> DataFrame:
+    """The table itself; raises ValueError when a side is empty or a group lies on both."""
+    counts = {r[0]: r[1] for r in df.groupBy(split).agg(F.count("*")).collect()}
+    if any(not counts.get(s) for s in sides):
+        raise ValueError(f"empty side of a split: {counts}")
+    both = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.countDistinct(split).alias("n")).where("n > 1")
+    require_empty(both, "a group lies on both sides of the split")
+    return df
+
+
 def sample_keys(df: DataFrame, strata: list[str], key: str, fraction: float, seed: str) -> DataFrame:
     """(strata, key): of each stratum floor(n * fraction + 0.5) distinct keys, by the order of a seeded hash."""
     keys = df.where(F.col(key).isNotNull() & (F.col(key) != "")).select(*strata, F.col(key).alias("key")).distinct().withColumn("h", F.md5(F.concat(F.lit(seed), "key")))
@@ -125,14 +152,24 @@ def split_by_group(df: DataFrame, group: str, chosen: DataFrame) -> DataFrame:
 
 
 def length_grouped_batches(df: DataFrame, id_col: str, length: str, seed: str, batch: int, window: int, world: int) -> DataFrame:
-    """(id, batch, rank): rows in hash order, cut to full batches, sorted by length within windows of batches, dealt to ranks."""
+    """(id, batch, rank): rows in hash order, cut to full batches, sorted by length within windows of batches, dealt to ranks.
+
+    Batches are numbered in the order of a second seeded hash, so that an epoch does not run by length.
+    """
     h = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
     rows = df.select(id_col, F.col(length).alias("__n"), h.alias("__h"), F.lit(0).alias("__all")).withColumn("__s", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
     placed = running_total(rows, ["__all"], ["__h", id_col], F.lit(1), "__p", 256, key=F.col("__s"))
     total = df.count() // batch * batch
     kept = placed.where(F.col("__p") < total).withColumn("__w", F.floor(F.col("__p") / (window * batch)))
     q = F.row_number().over(Window.partitionBy("__w").orderBy(F.col("__n").desc(), "__p")) - 1
-    return kept.withColumn("__q", q).select(id_col, (F.col("__w") * window + F.floor(F.col("__q") / batch)).cast("bigint").alias("batch"), (F.col("__q") % world).cast("int").alias("rank"))
+    batches = spark_range(df, total // batch).withColumn("__all", F.lit(0)).withColumn("__h", F.md5(F.concat(F.lit(seed), F.lit("b"), F.col("__b").cast("string")))).withColumn("__s", F.conv(F.substring("__h", 1, 2), 16, 10).cast("int"))
+    order = running_total(batches, ["__all"], ["__h", "__b"], F.lit(1), "batch", 256, key=F.col("__s")).select("__b", "batch")
+    dealt = kept.withColumn("__q", q).select(id_col, (F.col("__w") * window + F.floor(F.col("__q") / batch)).cast("bigint").alias("__b"), (F.col("__q") % world).cast("int").alias("rank"))
+    return dealt.join(order, "__b").select(id_col, "batch", "rank")
+
+
+def spark_range(df: DataFrame, n: int) -> DataFrame:
+    return df.sparkSession.range(n).withColumnRenamed("id", "__b")
 
 
 def range_lookup(rows: DataFrame, position: str, ranges: DataFrame, start: str, end: str, cell: int) -> DataFrame:

@@ -131,7 +131,7 @@ def judge_and_score_histogram(spark, t):
     return t("code_rows").where("llm_judgement is not null").groupBy(scores.alias("scores"), F.format_string("%.1f", F.col("average_test_score").cast("float")).alias("test_score")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT id, CASE WHEN llm_judgement IS NULL THEN 'invalid_serialized_metadata' WHEN least(""" + ", ".join(_SCORE.format(f) for f in _FIELDS) + """) < 4 THEN 'judge_score_below_4'
+@query("""SELECT id, CASE WHEN llm_judgement IS NULL THEN 'missing_metadata' WHEN least(""" + ", ".join(_SCORE.format(f) for f in _FIELDS) + """) < 4 THEN 'judge_score_below_4'
 WHEN len(list_filter(CAST(tests_execution_status AS VARCHAR[]), lambda x: x = 'pass')) <> CAST(average_test_score AS DOUBLE) * 10 THEN 'inconsistent_average_test_score' ELSE '' END AS reason FROM code_rows""")
 def quality_json_gate(spark, t):
     return t("code_rows").select("id", U.quality_reason("llm_judgement", "unit_tests", "tests_execution_status", "average_test_score").alias("reason"))
@@ -231,16 +231,44 @@ def linked_pairs(spark, t):
     return U.linked_pairs(t("prepared_rows").where("source <> '' and filter_reason = ''"), "question_key", "source_question_key").select("u", "v")
 
 
-@query(f"""
-WITH RECURSIVE e AS ({_LINKS}), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT u, u FROM e UNION SELECT v, v FROM e),
+_GROUPS = f"""
+links AS ({_LINKS}), k AS (SELECT u AS key FROM links UNION SELECT v FROM links),
+w AS (SELECT key, string_split(key, ' ') AS w FROM k), g AS (SELECT key, {_gram_sql('w', 5)} AS g5, {_gram_sql('w', 8)} AS g8 FROM w), e5 AS (SELECT key, unnest(g5) AS x FROM g),
+c AS (SELECT DISTINCT a.key AS l, b.key AS r FROM e5 a JOIN e5 b ON a.x = b.x WHERE a.key < b.key UNION SELECT least(a.key, b.key), greatest(a.key, b.key) FROM k a JOIN k b ON contains(b.key, a.key) AND a.key <> b.key AND length(a.key) >= 0.9 * length(b.key)),
+near5 AS (SELECT l, r FROM (SELECT l, r, CASE WHEN contains(r, l) OR contains(l, r) THEN least(length(l), length(r)) / greatest(length(l), length(r)) ELSE 0.0 END AS cover, {_jaccard_sql('p.g5', 'q.g5')} AS j5, {_jaccard_sql('p.g8', 'q.g8')} AS j8 FROM c JOIN g p ON p.key = l JOIN g q ON q.key = r) WHERE cover >= 0.9 OR j5 >= 0.55 OR j8 >= 0.4),
+e AS (SELECT u, v FROM links UNION SELECT l, r FROM near5), s AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT u, u FROM e UNION SELECT v, v FROM e),
 hub AS (SELECT v, min(u) AS m FROM s GROUP BY v), near AS (SELECT s.u, min(hub.m) AS m FROM s JOIN hub USING (v) GROUP BY s.u),
 q AS (SELECT DISTINCT near.m AS u, n2.m AS v FROM s JOIN near ON near.u = s.u JOIN near n2 ON n2.u = s.v WHERE near.m <> n2.m),
 cc(n, m) AS (SELECT u, v FROM q UNION SELECT v, u FROM q UNION SELECT cc.n, z.v FROM cc JOIN (SELECT u, v FROM q UNION SELECT v, u FROM q) z ON cc.m = z.u),
-root AS (SELECT near.u, least(near.m, coalesce(min(cc.m), near.m)) AS root FROM near LEFT JOIN cc ON cc.n = near.m GROUP BY near.u, near.m)
-SELECT u AS question_key, 'problem_' || lpad(CAST(dense_rank() OVER (ORDER BY root) - 1 AS VARCHAR), 8, '0') AS problem_group_id FROM root""")
+root AS (SELECT near.u, least(near.m, coalesce(min(cc.m), near.m)) AS root FROM near LEFT JOIN cc ON cc.n = near.m GROUP BY near.u, near.m),
+groups AS (SELECT u AS question_key, 'problem_' || lpad(CAST(dense_rank() OVER (ORDER BY root) - 1 AS VARCHAR), 8, '0') AS problem_group_id FROM root)"""
+
+
+def _groups(t):
+    """(node, problem_group_id): questions joined by their source question or by similarity."""
+    links = written(U.linked_pairs(t("prepared_rows").where("source <> '' and filter_reason = ''"), "question_key", "source_question_key").select("u", "v"))
+    keys = links.select(F.explode(F.array("u", "v")).alias("key"))
+    alike = S.similar_pairs(keys, "key", 0.90).select(F.col("left").alias("u"), F.col("right").alias("v"))
+    return U.group_ids(connected_components(links.unionByName(alike), "u", "v")).select("node", "problem_group_id")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT * FROM groups")
 def problem_group_ids(spark, t):
-    links = U.linked_pairs(t("prepared_rows").where("source <> '' and filter_reason = ''"), "question_key", "source_question_key")
-    return U.group_ids(connected_components(links, "u", "v")).select(F.col("node").alias("question_key"), "problem_group_id")
+    return _groups(t).withColumnRenamed("node", "question_key")
+
+
+@query(f"WITH RECURSIVE {_GROUPS} SELECT row_id, problem_group_id FROM prepared_rows JOIN groups USING (question_key) WHERE source <> '' AND filter_reason = '' AND source_question_key <> ''")
+def attached_groups(spark, t):
+    """Rows with the group of their question; a question without a group would fail the query."""
+    rows = t("prepared_rows").where("source <> '' and filter_reason = '' and question_key <> '' and source_question_key <> ''").select("row_id", "question_key")
+    return U.attach_groups(rows, "question_key", _groups(t)).select("row_id", "problem_group_id")
+
+
+@query(f"SELECT lower(trim(source)) AS source, count(*) AS kept FROM prepared_rows WHERE question_key IS NOT NULL AND filter_reason = '' AND question_key NOT IN (SELECT question_key FROM prepared_rows WHERE filter_reason = '' AND question_key IS NOT NULL AND gold_answer IS NOT NULL GROUP BY 1 HAVING count(DISTINCT gold_answer) > 1) GROUP BY 1")
+def conflict_free_rows(spark, t):
+    """Rows whose question has no two answers: the keys of conflicting answers are dropped by an anti-join."""
+    rows = t("prepared_rows").where("filter_reason = '' and question_key is not null")
+    return rows.join(U.conflicts(rows, "question_key", "gold_answer").select("question_key"), "question_key", "left_anti").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("kept"))
 
 
 @query(f"WITH {_MATCH}, x AS (SELECT DISTINCT source_question_key AS g FROM prepared_rows WHERE question_key IN (SELECT candidate FROM m) AND source_question_key IS NOT NULL) SELECT row_id FROM prepared_rows WHERE source_question_key IS NOT NULL AND source_question_key NOT IN (SELECT g FROM x)")
@@ -267,6 +295,16 @@ def split_by_group(spark, t):
     return U.split_by_group(rows, "source_question_key", picked).select("row_id", "split")
 
 
+@query(f"WITH RECURSIVE {_GROUPS}, r AS (SELECT row_id, lower(trim(source)) AS source, question_key, source_question_key, problem_group_id FROM prepared_rows JOIN groups USING (question_key) WHERE source <> '' AND filter_reason = '' AND source_question_key <> ''), p AS (SELECT key FROM (SELECT source, key, row_number() OVER (PARTITION BY source ORDER BY md5('7' || key), key) AS rn, count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, source_question_key AS key FROM r)) WHERE rn <= floor(n * 0.1 + 0.5)), chosen AS (SELECT DISTINCT problem_group_id FROM r WHERE source_question_key IN (SELECT key FROM p)) SELECT row_id, CASE WHEN problem_group_id IN (SELECT problem_group_id FROM chosen) THEN 'validation' ELSE 'train' END AS split FROM r")
+def split_by_whole_groups(spark, t):
+    """A tenth of the source questions of each source, taken to their whole groups; both sides must hold rows and no group may lie on both."""
+    rows = t("prepared_rows").where("source <> '' and filter_reason = '' and question_key <> '' and source_question_key <> ''").select("row_id", F.lower(F.trim("source")).alias("source"), "question_key", "source_question_key")
+    grouped = written(U.attach_groups(rows, "question_key", _groups(t)))
+    picked = U.sample_keys(grouped, ["source"], "source_question_key", 0.1, "7")
+    split = U.split_by_group(grouped, "problem_group_id", U.whole_groups(grouped, "source_question_key", "problem_group_id", picked))
+    return U.require_split(split, "problem_group_id", "split").select("row_id", "split")
+
+
 @query("SELECT problem_group_id FROM final_rows WHERE split = 'train' AND problem_group_id IS NOT NULL INTERSECT SELECT problem_group_id FROM final_rows WHERE split <> 'train'")
 def split_leakage_check(spark, t):
     rows = t("final_rows").where("problem_group_id is not null")
@@ -282,7 +320,7 @@ def validation_subset(spark, t):
 @query("""
 WITH o AS (SELECT final_id, row_number() OVER (ORDER BY md5('3' || final_id), final_id) - 1 AS p, len(input_ids) AS n, count(*) OVER () AS total FROM final_rows WHERE split = 'train'),
 w AS (SELECT *, p // (5 * 16) AS win FROM o WHERE p < total // 16 * 16), s AS (SELECT *, row_number() OVER (PARTITION BY win ORDER BY n DESC, p) - 1 AS q FROM w)
-SELECT final_id, CAST(win * 5 + q // 16 AS BIGINT) AS batch, CAST(q % 4 AS INT) AS rank FROM s""")
+SELECT final_id, row_number() OVER (ORDER BY hb, b) - 1 AS batch, CAST(q % 4 AS INT) AS rank FROM (SELECT *, win * 5 + q // 16 AS b, md5('3b' || (win * 5 + q // 16)) AS hb FROM s)""".replace("row_number() OVER (ORDER BY hb, b) - 1", "dense_rank() OVER (ORDER BY hb, b) - 1"))
 def length_grouped_batches(spark, t):
     rows = t("final_rows").where("split = 'train'").select("final_id", F.size("input_ids").alias("n"))
     return U.length_grouped_batches(rows, "final_id", "n", seed="3", batch=16, window=5, world=4)

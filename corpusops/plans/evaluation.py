@@ -131,11 +131,11 @@ def mean_sd_sem(spark, t):
     return x.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.stddev_pop("x") / F.sqrt(F.count("*")), 6).alias("sem"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"))
 
 
-@query("SELECT u.token, u.id AS left_id, v.id AS right_id FROM (SELECT source_subtype AS token, count(*) AS id FROM prepared_rows WHERE source_subtype IS NOT NULL GROUP BY 1) u FULL JOIN (SELECT source_subtype AS token, count(*) AS id FROM final_rows WHERE source_subtype IS NOT NULL GROUP BY 1) v ON u.token = v.token WHERE u.id IS DISTINCT FROM v.id AND u.token IS NOT NULL ORDER BY u.token LIMIT 10")
+@query("SELECT coalesce(u.token, v.token) AS token, u.id AS left_id, v.id AS right_id FROM (SELECT source_subtype AS token, count(*) AS id FROM prepared_rows WHERE source_subtype IS NOT NULL GROUP BY 1) u FULL JOIN (SELECT source_subtype AS token, count(*) AS id FROM final_rows WHERE source_subtype IS NOT NULL GROUP BY 1) v ON u.token = v.token WHERE u.id IS DISTINCT FROM v.id ORDER BY token LIMIT 10")
 def vocabulary_mismatches(spark, t):
-    """The first ten entries of one dictionary that another lacks or has with another value."""
+    """The first ten entries that one of two dictionaries lacks or has with another value."""
     u, v = (t(n).where("source_subtype is not null").groupBy(F.col("source_subtype").alias("token")).agg(F.count("*").alias(c)) for n, c in (("prepared_rows", "left_id"), ("final_rows", "right_id")))
-    return u.join(v, "token", "left").where(~F.col("left_id").eqNullSafe(F.col("right_id"))).orderBy("token").limit(10)
+    return u.join(v, "token", "full").where(~F.col("left_id").eqNullSafe(F.col("right_id"))).orderBy("token").limit(10)
 
 
 @query("SELECT id, sha256(coalesce(output, '')) AS digest FROM code_rows")

@@ -160,10 +160,25 @@ def test_quality_reasons(spark):
     item = {f: {"score": 5, "justification": "x"} for f in U.JUDGED}
     tests, states = json.dumps(["t"] * 10), json.dumps(["pass"] * 10)
     low = {**item, U.JUDGED[0]: {"score": 3, "justification": "x"}}
+    frame = lambda *data: spark.createDataFrame(list(data), "a string, b string, c string, d string").select(U.quality_reason("a", "b", "c", "d"))
+    data = [(json.dumps(item), tests, states, "1.0"), (json.dumps(low), tests, states, "1.0"), (None, tests, states, "1.0"), (json.dumps(item), tests, states, "0.9")]
+    assert [r[0] for r in frame(*data).collect()] == ["", "judge_score_below_4", "missing_metadata", "inconsistent_average_test_score"]
     real = {**item, U.JUDGED[0]: {"score": 4.0, "justification": "x"}}
-    data = [(json.dumps(item), tests, states, "1.0"), (json.dumps(low), tests, states, "1.0"), (json.dumps(real), tests, states, "1.0"), (None, tests, states, "1.0"), (json.dumps(item), tests, states, "0.9"), (json.dumps(item), "[]", states, "1.0")]
-    got = [r[0] for r in spark.createDataFrame(data, "a string, b string, c string, d string").select(U.quality_reason("a", "b", "c", "d")).collect()]
-    assert got == ["", "judge_score_below_4", "invalid_judgement_score", "invalid_serialized_metadata", "inconsistent_average_test_score", "invalid_unit_tests"]
+    for bad, name in (((json.dumps(real), tests, states, "1.0"), "score"), ((json.dumps(item), "[]", states, "1.0"), "unit_tests"), (("{", tests, states, "1.0"), "serialized")):
+        with pytest.raises(Exception, match=name):
+            frame(bad).collect()
+
+
+def test_groups_are_attached_and_splits_are_checked(spark):
+    groups = spark.createDataFrame([("a", "g0"), ("b", "g1")], "node string, problem_group_id string")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "k string, i int")
+    assert rows(U.attach_groups(df, "k", groups), "i", "problem_group_id") == [(1, "g0"), (2, "g1")]
+    with pytest.raises(Exception, match="no group for the key c"):
+        U.attach_groups(spark.createDataFrame([("c", 1)], "k string, i int"), "k", groups).collect()
+    with pytest.raises(ValueError):
+        U.require_split(spark.createDataFrame([("g", "train")], "g string, split string"), "g", "split")
+    with pytest.raises(ValueError):
+        U.require_split(spark.createDataFrame([("g", "train"), ("g", "validation")], "g string, split string"), "g", "split")
 
 
 def test_pass_at_k(spark):
