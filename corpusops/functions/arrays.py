@@ -125,3 +125,27 @@ def uniform(*key: Column, seed: int = 0) -> Column:
 def normal(*key: Column, seed: int = 0) -> Column:
     """A standard normal draw from two uniforms of the key."""
     return F.sqrt(-2 * F.log(uniform(*key, seed=seed))) * F.cos(2 * F.pi() * uniform(*key, seed=seed + 1))
+
+
+def valid_mask(condition_length: Column, generated: int | None, size: int) -> Column:
+    """1 for the places of the condition and ``generated`` more, 0 after them; all 1 without a bound."""
+    place = F.sequence(F.lit(0), F.lit(size - 1))
+    return F.transform(place, lambda i: F.lit(1) if generated is None else F.when(i < condition_length + generated, 1).otherwise(0))
+
+
+def drop_condition(mask: Column, dropped: Column) -> Column:
+    """A condition mask (1 condition, 2 response) whose condition counts as padding where ``dropped`` holds."""
+    return F.when(dropped, F.transform(mask, lambda x: F.when(x == 1, 0).otherwise(x))).otherwise(mask)
+
+
+def averaged(values: Column, decay: float) -> Column:
+    """The exponential average of an array in order, started at its first value: d * average + (1 - d) * value. Null for an empty one."""
+    rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
+    return F.when(F.size(values) > 0, F.aggregate(rest, F.element_at(values, 1), lambda s, x: s * decay + x * (1 - decay)))
+
+
+def masked_mean(values: Column, mask: Column) -> Column:
+    """(mean, valid): the mean of the values whose mask is not 0, 0 without one, and the share of those."""
+    n = F.aggregate(mask, F.lit(0.0), lambda s, x: s + x)
+    held = total(F.zip_with(values, mask, lambda x, m: x * m))
+    return F.struct((held / F.greatest(n, F.lit(1.0))).alias("mean"), (n / F.greatest(F.size(mask), F.lit(1))).alias("valid"))

@@ -151,3 +151,83 @@ def _unmatched(value: str) -> str:
 
 
 tex_alignment = _each(_unmatched, StringType())
+
+#: Ways to treat a program before it is judged: whether the cleaner runs, and which function gets the wanted name.
+MODES = ("raw", "valid_first", "sanitize", "alias_single", "alias_last", "valid_first_alias_single", "sanitize_alias_single")
+COUNTERS = ("applied", "cleaned", "existing_binding", "no_function", "ambiguous", "invalid_source")
+
+
+def longest_program(code: str, wanted: str | None = None) -> str:
+    """The longest run of lines that parses, without its outer fences; of its definitions only those that the wanted name needs."""
+    lines = [x for x in code.splitlines() if not x.lstrip().startswith("```")]
+    best: tuple[int, int] = (0, 0)
+    for i in range(len(lines)):
+        if len(lines) - i <= best[1] - best[0]:
+            break
+        for j in range(len(lines), i + best[1] - best[0], -1):
+            if _tree("\n".join(lines[i:j])) is not None:
+                best = (i, j)
+                break
+    text = "\n".join(lines[best[0] : best[1]])
+    tree = _tree(text)
+    if wanted is None or tree is None or wanted not in _bindings(text):
+        return text
+    kinds = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    uses = {n.name: {x.id for x in ast.walk(n) if isinstance(x, ast.Name)} for n in tree.body if isinstance(n, kinds)}
+    needed, queue = set(), [wanted, *(x.id for n in tree.body if not isinstance(n, kinds) for x in ast.walk(n) if isinstance(x, ast.Name))]
+    while queue:
+        name = queue.pop()
+        if name not in needed:
+            needed.add(name)
+            queue += uses.get(name, ())
+    return "\n".join(ast.unparse(n) for n in tree.body if not isinstance(n, kinds) or n.name in needed)
+
+
+def transformed(code: str, wanted: str, mode: str) -> tuple[str, dict[str, int]]:
+    """The program in one of the modes, and what was done to it."""
+    done = dict.fromkeys(COUNTERS, 0)
+
+    def clean(text: str, name: str | None) -> str:
+        done["cleaned"] += 1
+        return longest_program(text, name)
+
+    first, _, alias = mode.partition("_alias") if mode.startswith(("valid", "sanitize")) else ("", "", mode.removeprefix("alias") if mode != "raw" else "")
+    if mode == "raw":
+        return code, done
+    if first == "sanitize" and not alias:
+        return clean(code, wanted), done
+    if first == "sanitize":
+        code = clean(code, None)
+    tree = _tree(code)
+    if first == "valid_first":
+        if tree is None:
+            return clean(code, wanted), done
+        if not alias:
+            return code, done
+    finish = (lambda text: clean(text, wanted)) if first == "sanitize" else (lambda text: text)
+    if tree is None:
+        done["invalid_source"] = 1
+        return code, done
+    if wanted in _bindings(code):
+        done["existing_binding"] = 1
+        return finish(code), done
+    functions = [n.name for n in tree.body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    if not functions or (alias == "_single" and len(functions) > 1):
+        done["ambiguous" if functions else "no_function"] = 1
+        return code, done
+    done["applied"] = 1
+    return finish(f"{code.rstrip()}\n\n{wanted} = {functions[-1]}\n"), done
+
+
+def transformer(mode: str):
+    """A function of (program, wanted name) in one mode: (code, counters). Null for a null part; an unknown mode raises ValueError."""
+    if mode not in MODES:
+        raise ValueError(f"unknown mode: {mode}")
+    kind = StructType([StructField("code", StringType()), *(StructField(c, IntegerType()) for c in COUNTERS)])
+
+    @F.arrow_udf(kind)
+    def run(codes: pa.Array, wanted: pa.Array) -> pa.Array:
+        made = [None if c is None or w is None else transformed(c, w, mode) for c, w in zip(codes.to_pylist(), wanted.to_pylist())]
+        return pa.array([None if m is None else {"code": m[0], **m[1]} for m in made], pa.struct([("code", pa.string()), *((c, pa.int32()) for c in COUNTERS)]))
+
+    return run

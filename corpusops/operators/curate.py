@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusops.operators.ranking import running_total
-from corpusops.runtime import written
+from corpusops.operators.ranking import ordered_index, running_total
 
 PAIR_LIMIT = 100_000
 # The judged fields and the length of a test list.
 JUDGED = ("requirement_conformance", "logical_correctness", "edge_case_consideration")
 TESTS = 10
+# What stands before and after the answer that closes a target.
+CLOSINGS = (("#### ", ""), ("Final answer: $\\boxed{", "}$"))
 
 
 def first_reason(*reasons: Column) -> Column:
@@ -105,13 +106,16 @@ def group_ids(components: DataFrame, prefix: str = "problem_") -> DataFrame:
 
     Components are ranked within sampled ranges of their order, written once, so no task sees them all.
     """
-    parts = max(int(components.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    roots = written(components.select("component").distinct().repartitionByRange(parts, "component").withColumn("__part", F.spark_partition_id()))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    starts = roots.groupBy("__part").agg(F.count("*").alias("m")).select("__part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("__part").orderBy("component")
-    numbered = roots.join(F.broadcast(starts), "__part").withColumn("number", F.col("start") + F.row_number().over(inside) - 1)
-    return components.join(numbered.select("component", "number"), "component").withColumn("problem_group_id", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 8, "0"))).drop("number")
+    numbered = ordered_index(components.select("component").distinct(), ["component"], "number")
+    return components.join(numbered, "component").withColumn("problem_group_id", F.concat(F.lit(prefix), F.lpad(F.col("number").cast("string"), 8, "0"))).drop("number")
+
+
+def finalize(df: DataFrame, order: list[str], target: str, answer: str) -> DataFrame:
+    """Adds index, the place in the order from 0. A row whose target does not close with its answer raises an error when it is read."""
+    closes = [F.col(target).endswith(F.concat(F.lit(a), F.col(answer), F.lit(b))) for a, b in CLOSINGS]
+    fine = F.coalesce(closes[0] | closes[1], F.lit(False))
+    checked = df.withColumn(target, F.when(fine, F.col(target)).otherwise(F.raise_error(F.concat(F.lit("target without its answer: "), F.coalesce(F.right(F.col(target), F.lit(60)), F.lit("null")))).cast("string")))
+    return ordered_index(checked, order, "index")
 
 
 def attach_groups(df: DataFrame, key: str, groups: DataFrame) -> DataFrame:

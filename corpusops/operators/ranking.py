@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusops.runtime import written
+
 
 def running_total(df: DataFrame, groups: list[str], order: list[str], value: Column, name: str, parts: int, key: Column | None = None) -> DataFrame:
     """Adds the sum of ``value`` over the rows before each row of its group, as bigint.
@@ -24,3 +26,17 @@ def running_total(df: DataFrame, groups: list[str], order: list[str], value: Col
     conditions = [summed[g].eqNullSafe(starts[g]) for g in groups] + [summed["__slice"] == starts["__slice"]]
     joined = summed.join(starts, conditions)
     return joined.select(*[summed[c] for c in df.columns], (F.col("__start") + F.col("__inside")).alias(name))
+
+
+def ordered_index(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row in the order of the columns, from 0 without gaps, as bigint.
+
+    Rows go to sampled ranges of the order, which are written once so that both passes see the same ranges; only the
+    sizes of the ranges are summed in one task. ``order`` must be unique for a definite result; nulls come first.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("__part").agg(F.count("*").alias("m")).select("__part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return ranged.withColumn("__inside", inside).join(F.broadcast(starts), "__part").select(*df.columns, (F.col("__start") + F.col("__inside")).cast("bigint").alias(name))

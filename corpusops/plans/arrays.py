@@ -92,19 +92,21 @@ def vector_distances(spark, t):
     return _vectors(t).select("vec_id", F.round(K.cosine_distance(F.col("v"), F.col("w")), 6).alias("distance"), F.round(K.smooth_l1(F.col("v"), F.col("w")), 6).alias("smooth"))
 
 
-@query("SELECT label, CAST(i AS INT) AS dim, round(avg(x), 6) AS mean, round(CAST(max_by(x, vec_id) AS DOUBLE), 6) AS last FROM (SELECT label, vec_id, unnest(embedding[1:16]) AS x, unnest(range(0, 16)) AS i FROM embeddings) GROUP BY ALL")
+@query("SELECT label, CAST(i AS INT) AS dim, round(avg(x), 6) AS mean, round(CAST(max_by(x, vec_id) AS DOUBLE), 6) AS last FROM (SELECT label, vec_id, unnest(embedding) AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY ALL")
 def pool_mean_last(spark, t):
-    x = t("embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 16)).alias("dim", "x"))
+    x = t("embeddings").select("label", "vec_id", F.posexplode("embedding").alias("dim", "x"))
     return x.groupBy("label", "dim").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.max_by("x", "vec_id").cast("double"), 6).alias("last"))
 
 
 @query(f"""
-WITH e AS (SELECT vec_id, {_V} AS v, list_reverse({_V}) AS w, (vec_id % 10) / 10.0 AS u FROM embeddings), z AS (SELECT *, list_transform(list_zip(v, w), lambda p: CAST(u AS DOUBLE) * p[1] + (1 - CAST(u AS DOUBLE)) * p[2] * 2) AS z FROM e)
-SELECT vec_id, list_transform(z, lambda x: round(x, 6)) AS z, list_transform(list_zip(v, z), lambda p: round((p[1] - p[2]) / greatest(1 - CAST(u AS DOUBLE), 0.05), 5)) AS velocity FROM z""")
+WITH e AS (SELECT vec_id, {_V} AS v, list_reverse({_V}) AS w, CAST((vec_id % 10) / 10.0 AS DOUBLE) AS u FROM embeddings), x AS (SELECT vec_id, u, unnest(range(0, len(v))) AS dim, unnest(v) AS v, unnest(w) AS w FROM e)
+SELECT vec_id, CAST(dim AS INT) AS dim, u * v + (1 - u) * w * 2 AS z, (v - (u * v + (1 - u) * w * 2)) / greatest(1 - u, 0.05::DOUBLE) AS velocity FROM x""")
 def interpolate_velocity(spark, t):
-    u = (F.col("vec_id") % 10) / 10.0
+    """One row for each dimension, so that values compare as numbers."""
+    u = ((F.col("vec_id") % 10) / 10.0).cast("double")
     z = _vectors(t).select("vec_id", "v", u.alias("u"), K.interpolate(F.col("v"), F.col("w"), u, 2.0).alias("z"))
-    return z.select("vec_id", F.transform("z", lambda x: F.round(x, 6)).alias("z"), F.transform(K.velocity(F.col("v"), F.col("z"), F.col("u"), 0.05), lambda x: F.round(x, 5)).alias("velocity"))
+    both = z.select("vec_id", F.posexplode(F.arrays_zip("z", K.velocity(F.col("v"), F.col("z"), F.col("u"), 0.05).alias("velocity"))).alias("dim", "x"))
+    return both.select("vec_id", "dim", "x.z", "x.velocity")
 
 
 @query("SELECT s AS step, round(CASE WHEN s < 100 THEN 0.001 * s / 100 ELSE 0.0001 + 0.00045 * (1 + cos(pi() * least(1.0, (s - 100) / 900.0))) END, 12) AS cosine, round(CASE WHEN s < 100 THEN 0.001 * s / 100 ELSE 0.001 END, 12) AS constant, round(CASE WHEN s >= 1000 THEN 0.999 ELSE pow(0.5, 1 / greatest(ln(0.5) / ln(0.999) * s / 1000.0, 1e-9)) END, 10) AS decay, s >= 200 AND s < 700 AS open FROM (SELECT unnest(range(0, 1200)) AS s)")

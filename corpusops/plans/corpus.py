@@ -10,7 +10,7 @@ from corpusops.functions import text as T
 from corpusops.operators import curate as U
 from corpusops.operators import similarity as S
 from corpusops.operators.graph import connected_components
-from corpusops.operators.ranking import running_total
+from corpusops.operators.ranking import ordered_index
 from corpusops.plans.registry import nfkc_sql, query
 from corpusops.runtime import written
 
@@ -102,10 +102,9 @@ def one_row_per_group(spark, t):
     return U.keep_first(t("final_rows").where("split = 'train'"), ["problem_group_id"], ["final_id"]).select("problem_group_id", "final_id")
 
 
-@query("SELECT final_id, row_number() OVER (ORDER BY xx, final_id) - 1 AS position FROM (SELECT final_id, final_id % 97 AS xx FROM final_rows)")
+@query("SELECT final_id, row_number() OVER (ORDER BY source, source_index, final_id) - 1 AS position FROM final_rows")
 def contiguous_index(spark, t):
-    df = t("final_rows").select("final_id", (F.col("final_id") % 97).alias("xx"), F.lit(0).alias("all"))
-    return running_total(df, ["all"], ["xx", "final_id"], F.lit(1), "position", 97, key=F.col("xx")).select("final_id", "position")
+    return ordered_index(t("final_rows").select("final_id", "source", "source_index"), ["source", "source_index", "final_id"], "position").select("final_id", "position")
 
 
 @query("SELECT split, min(len(input_ids)) AS least, max(len(input_ids)) AS most, round(avg(len(input_ids)), 6) AS mean, count(*) FILTER (len(input_ids) > 100) AS long_responses FROM final_rows GROUP BY split")

@@ -11,22 +11,21 @@ from corpusops.functions import code as P
 from corpusops.operators import metrics as M
 from corpusops.operators import runs as R
 from corpusops.plans.registry import query
-from corpusops.plans.texts import NUMBER
 from corpusops.runtime import ensure_checkpoint_dir
 from corpusops.sources import jsonl
 
-_STRICT = rf"CASE WHEN regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({NUMBER})', 1) <> '' AND contains(generated_text, '####') AND NOT regexp_matches(substr(list_extract(string_split(generated_text, '####'), -1), length(regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({NUMBER})', 1)) + 2), '^[0-9,./]') THEN replace(regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({NUMBER})', 1), ',', '') END"
+_STRICT = rf"CASE WHEN regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({A.NUMBER})', 1) <> '' AND contains(generated_text, '####') AND NOT regexp_matches(substr(list_extract(string_split(generated_text, '####'), -1), length(regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({A.NUMBER})', 1)) + 2), '^[0-9,./]') THEN replace(regexp_extract(list_extract(string_split(generated_text, '####'), -1), '^ ({A.NUMBER})', 1), ',', '') END"
 
 
 @query(f"""
 SELECT run_id, count(*) AS n, count(*) FILTER (s = trim(gold_answer)) AS correct, count(*) FILTER (s IS NULL) AS invalid, round(100.0 * count(*) FILTER (s = trim(gold_answer)) / count(*), 6) AS accuracy,
-round(avg(CAST(eos_emitted AS INT)), 6) AS eos_rate, round(avg(response_length), 6) AS mean_length, round(quantile_cont(response_length, 0.95), 6) AS p95_length FROM (SELECT *, {_STRICT} AS s FROM generations) GROUP BY run_id""")
+round(avg(CAST(eos_emitted AS INT)), 6) AS eos_rate, round(avg(response_length), 6) AS mean_length, round(quantile_cont(response_length, 0.5), 6) AS median_length, round(quantile_cont(response_length, 0.95), 6) AS p95_length FROM (SELECT *, {_STRICT} AS s FROM generations) GROUP BY run_id""")
 def answer_accuracy(spark, t):
     g = t("generations").withColumn("s", A.strict_answer(F.col("generated_text")))
     right = F.coalesce(A.same_number(F.col("s"), F.col("gold_answer")), F.lit(False))
     return g.groupBy("run_id").agg(
         F.count("*").alias("n"), F.count_if(right).alias("correct"), F.count_if(F.col("s").isNull()).alias("invalid"), F.round(100 * M.rate(F.count_if(right), F.count("*")), 6).alias("accuracy"),
-        F.round(F.avg(F.col("eos_emitted").cast("int")), 6).alias("eos_rate"), F.round(F.avg("response_length"), 6).alias("mean_length"), F.round(F.percentile("response_length", F.lit(0.95)), 6).alias("p95_length"),
+        F.round(F.avg(F.col("eos_emitted").cast("int")), 6).alias("eos_rate"), F.round(F.avg("response_length"), 6).alias("mean_length"), F.round(F.percentile("response_length", F.lit(0.5)), 6).alias("median_length"), F.round(F.percentile("response_length", F.lit(0.95)), 6).alias("p95_length"),
     )
 
 
@@ -125,10 +124,10 @@ def weighted_perplexity(spark, t):
     return M.weighted_perplexity(t("events"), ["event_type"], F.abs("value") * w / 100.0, w).select("event_type", F.round("perplexity", 6).alias("perplexity"))
 
 
-@query("SELECT label, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(stddev_pop(x) / sqrt(count(*)), 6) AS sem, round(quantile_cont(x, 0.5), 6) AS median FROM (SELECT label, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings) GROUP BY label")
+@query("SELECT label, CAST(i AS INT) AS dim, count(*) AS n, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS sd, round(stddev_pop(x) / sqrt(count(*)), 6) AS sem, round(quantile_cont(x, 0.5), 6) AS median FROM (SELECT label, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) AS x FROM embeddings) GROUP BY ALL")
 def mean_sd_sem(spark, t):
-    x = t("embeddings").select("label", F.element_at("embedding", 1).cast("double").alias("x"))
-    return x.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.stddev_pop("x") / F.sqrt(F.count("*")), 6).alias("sem"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"))
+    x = t("embeddings").select("label", F.posexplode(F.col("embedding").cast("array<double>")).alias("dim", "x"))
+    return x.groupBy("label", "dim").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.stddev_pop("x") / F.sqrt(F.count("*")), 6).alias("sem"), F.round(F.percentile("x", F.lit(0.5)), 6).alias("median"))
 
 
 @query("SELECT coalesce(u.token, v.token) AS token, u.id AS left_id, v.id AS right_id FROM (SELECT source_subtype AS token, count(*) AS id FROM prepared_rows WHERE source_subtype IS NOT NULL GROUP BY 1) u FULL JOIN (SELECT source_subtype AS token, count(*) AS id FROM final_rows WHERE source_subtype IS NOT NULL GROUP BY 1) v ON u.token = v.token WHERE u.id IS DISTINCT FROM v.id ORDER BY token LIMIT 10")
@@ -158,8 +157,11 @@ def code_entry_points(spark, t):
 
 @query()
 def tex_alignment_and_seeds(spark, t):
-    v = F.when(F.col("doc_id") % 3 == 0, F.lit("\\begin{pmatrix}1 & 2\\end{pmatrix}")).when(F.col("doc_id") % 3 == 1, F.lit("a & b")).otherwise(F.lit("\\begin{pmatrix}1 & 2"))
-    return t("documents").select("doc_id", P.tex_alignment(v).alias("fault"), P.stable_seed(F.concat_ws("|", F.col("doc_id").cast("string"), "source")).alias("seed"))
+    """Alignment faults of whole solutions of the benchmark and of targets, with a seed from each row's key."""
+    both = t("eval_items").select(F.concat(F.lit("item|"), F.col("item_id").cast("string")).alias("key"), F.col("solution").alias("v")).unionByName(
+        t("prepared_rows").select(F.concat(F.lit("row|"), F.col("row_id").cast("string")).alias("key"), F.col("target").alias("v"))
+    )
+    return both.select("key", P.tex_alignment(F.col("v")).alias("fault"), P.stable_seed(F.col("key")).alias("seed"))
 
 
 @query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")

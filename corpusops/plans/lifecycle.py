@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusops.functions import arrays as K
 from corpusops.functions import code as P
 from corpusops.functions import text as T
 from corpusops.operators import curate as U
 from corpusops.operators import runs as R
-from corpusops.operators.ranking import running_total
 from corpusops.plans.registry import query
 
 
@@ -114,23 +114,27 @@ def time_grids(spark, t):
     return spark.createDataFrame([(4,), (16,), (64,)], "n int").select("n", F.transform(grid, lambda i: F.round(i / F.col("n"), 9)).alias("uniform"), F.transform(grid, lambda i: F.round(F.sqrt(i / F.col("n")), 9)).alias("power"))
 
 
-@query("SELECT d.doc_id, len(e.embedding) AS dims FROM documents d JOIN embeddings e ON d.doc_id % 500 = e.vec_id")
-def attach_vectors(spark, t):
-    vectors = t("embeddings").select("vec_id", F.size("embedding").cast("bigint").alias("dims"))
-    return t("documents").select("doc_id", (F.col("doc_id") % 500).alias("vec_id")).join(vectors, "vec_id").select("doc_id", "dims")
+_CLOSED = "coalesce(ends_with(target, '#### ' || gold_answer) OR ends_with(target, 'Final answer: $\\boxed{' || gold_answer || '}$'), false)"
 
 
-@query("SELECT row_number() OVER (ORDER BY source, source_index, final_id) - 1 AS \"index\", source, CAST(source_index AS INT) AS source_index, gold_answer, target FROM final_rows WHERE split = 'train' AND (ends_with(target, '#### ' || gold_answer) OR ends_with(target, 'Final answer: $\\boxed{' || gold_answer || '}$'))")
+@query(f"SELECT row_number() OVER (ORDER BY source, source_index, final_id) - 1 AS \"index\", source, CAST(source_index AS INT) AS source_index, gold_answer, target FROM final_rows WHERE split = 'train' AND {_CLOSED}")
 def finalize_rows(spark, t):
-    """Rows whose target closes with its answer, numbered from 0 in source order and cast to the final types."""
-    ends = F.col("target").endswith(F.concat(F.lit("#### "), F.col("gold_answer"))) | F.col("target").endswith(F.concat(F.lit("Final answer: $\\boxed{"), F.col("gold_answer"), F.lit("}$")))
-    rows = t("final_rows").where("split = 'train'").where(ends).withColumn("__all", F.lit(0))
-    sources = Window.orderBy("source")
-    ranks = rows.groupBy("source").agg(F.count("*").alias("m")).withColumn("__rank", F.row_number().over(sources)).select("source", "__rank")  # a row for each source
-    placed = running_total(rows.join(F.broadcast(ranks), "source"), ["__all"], ["__rank", "source_index", "final_id"], F.lit(1), "index", 1 << 20, key=F.col("__rank") * 1000 + F.least(F.floor(F.col("source_index") / 1000), F.lit(999)))
+    """The rows that unfinished_rows does not report, numbered in source order and cast to the final types; one that did not close would fail the query."""
+    rows = t("final_rows").where("split = 'train'").where(_closed())
+    placed = U.finalize(rows.select("source", "source_index", "final_id", "gold_answer", "target"), ["source", "source_index", "final_id"], "target", "gold_answer")
     return placed.select("index", "source", F.col("source_index").cast("int").alias("source_index"), "gold_answer", "target")
 
 
+def _closed():
+    return F.coalesce(F.col("target").endswith(F.concat(F.lit("#### "), F.col("gold_answer"))) | F.col("target").endswith(F.concat(F.lit("Final answer: $\\boxed{"), F.col("gold_answer"), F.lit("}$"))), F.lit(False))
+
+
+@query(f"SELECT final_id, gold_answer IS NULL AS without_answer FROM final_rows WHERE split = 'train' AND NOT {_CLOSED}")
+def unfinished_rows(spark, t):
+    """Training rows whose target does not close with their answer."""
+    return t("final_rows").where("split = 'train'").where(~_closed()).select("final_id", F.col("gold_answer").isNull().alias("without_answer"))
+
+
 @query()
 def code_corpus_pipeline(spark, t):
     """The code corpus from raw rows to kept rows: metadata, fences and syntax, length, then the first of each task. Counts by stage."""
@@ -156,3 +160,21 @@ def manifest_check(spark, t):
     """Fields in which a cache differs from its manifest."""
     found = t("embeddings").agg(F.max(F.size("embedding")).alias("dims"), F.count("*").alias("rows")).first().asDict()
     return spark.createDataFrame([(f,) for f in R.manifest_mismatches({"dims": 64, "rows": 1}, found)], "field string")
+
+
+@query("SELECT field FROM (SELECT unnest(['batch', 'dims', 'rounds', 'rows']) AS field, unnest([8, 64, 1, 1]) AS expected, unnest([16, max(len(embedding)), 1, count(*)]) AS found FROM embeddings) WHERE expected <> found AND field <> 'batch'")
+def manifest_check_with_defaults(spark, t):
+    """The same with a field that does not count and one that an older manifest lacks and takes its default."""
+    found = t("embeddings").agg(F.max(F.size("embedding")).alias("dims"), F.count("*").alias("rows")).first().asDict()
+    differ = R.manifest_mismatches({"dims": 64, "rows": 1, "batch": 8}, {**found, "batch": 16, "rounds": 1}, ignored=("batch",), defaults={"rounds": 1})
+    return spark.createDataFrame([(f,) for f in differ], "field string")
+
+
+@query("SELECT CAST(n AS INT) AS n, true AS rising, n + 1 AS points FROM (SELECT unnest([4, 16, 64]) AS n)")
+def drawn_time_grids(spark, t):
+    """Grids between 0 and 1 of sorted logit-normal draws that depend on their place alone; all must rise."""
+    draw = lambda n, i: 1 / (1 + F.exp(-(K.normal(n, i, seed=9) * 0.8 - 0.8)))
+    points = spark.createDataFrame([(4,), (16,), (64,)], "n int").select("n", F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("i")).select("n", draw(F.col("n"), F.col("i")).alias("x"))
+    grid = points.groupBy("n").agg(F.array_sort(F.collect_list("x")).alias("x")).select("n", F.concat(F.array(F.lit(0.0)), "x", F.array(F.lit(1.0))).alias("x"))
+    rises = F.forall(F.zip_with(F.slice("x", F.lit(1), F.size("x") - 1), F.slice("x", F.lit(2), F.size("x") - 1), lambda a, b: a < b), lambda y: y)
+    return grid.select("n", rises.alias("rising"), F.size("x").cast("bigint").alias("points"))

@@ -32,4 +32,4 @@ def query(sql: str | None = None):
     return add
 
 
-from corpusops.plans import arrays, corpus, evaluation, lifecycle, texts  # noqa: E402, F401  (they register on import)
+from corpusops.plans import arrays, benchmarks, corpus, evaluation, lifecycle, texts  # noqa: E402, F401  (they register on import)

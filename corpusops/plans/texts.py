@@ -17,7 +17,7 @@ def stripped(x: str) -> str:
     return rf"regexp_replace(regexp_replace({x}, '^{WS}', ''), '{WS}$', '')"
 
 
-NUMBER = r"[-+]?(?:[0-9][0-9,]*/[0-9][0-9,]*|[0-9][0-9,]*(?:\.[0-9]+)?|\.[0-9]+)"
+NUMBER = A.NUMBER
 
 
 @query("SELECT row_id, nullif(question_key, '') AS key FROM prepared_rows")
@@ -100,15 +100,14 @@ def canonicalize_responses(spark, t):
 
 
 @query(r"""
-WITH b AS (SELECT doc_id, CASE WHEN n_chars % 3 = 0 THEN '\frac{' || CAST(n_chars AS VARCHAR) || '}{2}' WHEN n_chars % 7 = 1 THEN '{a' WHEN n_chars % 7 = 2 THEN 'a}' WHEN n_chars % 7 = 3 THEN '5\%' WHEN n_chars % 7 = 4 THEN '5%' WHEN n_chars % 7 = 5 THEN '$5$' ELSE 'x#' END AS v FROM documents),
-c AS (SELECT *, regexp_replace(v, '\\.', '', 'g') AS bare FROM b)
-SELECT doc_id, CASE WHEN regexp_matches(bare, '^[^{]*\}') THEN 'unbalanced_braces' WHEN regexp_matches(bare, '\$') THEN 'unescaped_dollar' WHEN regexp_matches(bare, '%') THEN 'unescaped_percent' WHEN regexp_matches(bare, '#') THEN 'unescaped_hash' WHEN length(bare) - length(replace(bare, '{', '')) <> length(bare) - length(replace(bare, '}', '')) THEN 'unbalanced_braces' ELSE '' END AS fault FROM c""")
+WITH b AS (SELECT 'row|' || row_id AS key, gold_answer AS v FROM prepared_rows UNION ALL SELECT 'item|' || item_id, answer FROM eval_items), c AS (SELECT *, regexp_replace(v, '\\.', '', 'gs') AS bare FROM b),
+o AS (SELECT *, nullif(coalesce(list_position(string_split(bare, ''), '$'), 0), 0) AS d, nullif(coalesce(list_position(string_split(bare, ''), '%'), 0), 0) AS p, nullif(coalesce(list_position(string_split(bare, ''), '#'), 0), 0) AS h, length(nullif(regexp_extract(bare, '^[^{]*\}'), '')) AS u FROM c)
+SELECT key, CASE WHEN v IS NULL THEN 'missing_answer' WHEN u < least(d, p, h) OR (u IS NOT NULL AND least(d, p, h) IS NULL) THEN 'unbalanced_braces' WHEN d = least(d, p, h) THEN 'unescaped_dollar' WHEN p = least(d, p, h) THEN 'unescaped_percent' WHEN h = least(d, p, h) THEN 'unescaped_hash'
+WHEN length(bare) - length(replace(bare, '{', '')) <> length(bare) - length(replace(bare, '}', '')) THEN 'unbalanced_braces' ELSE '' END AS fault FROM o""".replace("\\\\", "\\"))
 def tex_structure(spark, t):
-    v = (
-        F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("\\frac{"), F.col("n_chars").cast("string"), F.lit("}{2}")))
-        .when(F.col("n_chars") % 7 == 1, "{a").when(F.col("n_chars") % 7 == 2, "a}").when(F.col("n_chars") % 7 == 3, "5\\%").when(F.col("n_chars") % 7 == 4, "5%").when(F.col("n_chars") % 7 == 5, "$5$").otherwise("x#")
-    )
-    return t("documents").select("doc_id", A.tex_problem(v).alias("fault"))
+    """Structural faults of the answers of the corpus and the benchmark."""
+    both = t("prepared_rows").select(F.concat(F.lit("row|"), F.col("row_id").cast("string")).alias("key"), F.col("gold_answer").alias("v")).unionByName(t("eval_items").select(F.concat(F.lit("item|"), F.col("item_id").cast("string")).alias("key"), F.col("answer").alias("v")))
+    return both.select("key", A.tex_problem(F.col("v")).alias("fault"))
 
 
 _WORDS = r"regexp_extract_all(lower(question), '[a-z0-9]+(?:\.[0-9]+)?')"
@@ -132,7 +131,7 @@ WITH g AS (SELECT item_id, i, substr(task_id || question, i, 4) AS gram FROM (SE
 SELECT item_id, gram, CAST(row_number() OVER (PARTITION BY item_id, gram ORDER BY i) AS INT) AS occurrence FROM g""")
 def char_4gram_occurrences(spark, t):
     key = F.concat("task_id", "question")
-    grams = t("eval_items").select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(key) - 3), lambda i: F.substring(key, i, F.lit(4)))).alias("i", "gram"))
+    grams = t("eval_items").where(F.length(key) >= 4).select("item_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length(key) - 3), lambda i: F.substring(key, i, F.lit(4)))).alias("i", "gram"))
     return grams.select("item_id", "gram", F.row_number().over(Window.partitionBy("item_id", "gram").orderBy("i")).alias("occurrence"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (local tests) a temporary one is set."""
+    """The folder named by spark.checkpoint.dir. Where that is unset a temporary one is set in local mode; a cluster without one raises ValueError."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
@@ -19,16 +19,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "corpusops-checkpoints"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the shared folder: survives the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Writes a table into the shared checkpoint folder and reads it again.
 

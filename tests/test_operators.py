@@ -216,7 +216,7 @@ def test_jsonl(spark, tmp_path):
     jsonl.write_new(spark.range(2), str(tmp_path / "out"))
     with pytest.raises(Exception):
         jsonl.write_new(spark.range(2), str(tmp_path / "out"))
-    jsonl.write_manifest({"b": 1, "a": 2}, str(tmp_path / "m.json"))
+    jsonl.write_manifest(spark, {"b": 1, "a": 2}, str(tmp_path / "m.json"))
     assert list(json.loads((tmp_path / "m.json").read_text())) == ["a", "b"]
 
 
