@@ -1,7 +1,7 @@
 """Problem 5: texts of varying length into containers of fixed capacity.
 
 Method. A text longer than the capacity is cut into pieces of the capacity and one rest. The lengths of all items make a
-histogram whose size is bounded by the capacity, so it is the only thing the driver sees. On it the configuration linear
+histogram whose size is bounded by the capacity, so it is the only thing the driver sees; each profile is solved in a task of its own. On it the configuration linear
 program (fewest containers, each filled by one configuration of length classes, that hold all items) is solved by
 multiplicative weights: the price of a class is multiplied by exp(-RATE * (its coverage - the schedule)) in every round, a
 knapsack dynamic program finds the configuration of greatest price, and a share of the containers takes it, less where that
@@ -15,6 +15,7 @@ slices (see ranking), and the table of configurations, bounded by the grid and t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,8 @@ def knapsack(sizes: np.ndarray, prices: np.ndarray, room: int) -> np.ndarray:
     best, choice = np.zeros(room + 1), np.full(room + 1, -1, np.int64)
     order = np.argsort(sizes, kind="stable")
     s, p = sizes[order], prices[order]
+    worth = p > np.concatenate([[-1.0], np.maximum.accumulate(p)[:-1]])  # a class is of no use where a smaller one is worth as much
+    order, s, p = order[worth], s[worth], p[worth]
     upto = np.searchsorted(s, np.arange(room + 1), "right")
     for c in range(1, room + 1):
         best[c] = best[c - 1]
@@ -195,6 +198,14 @@ def _lower_bound(lengths: np.ndarray, counts: np.ndarray, prices: np.ndarray, ro
     return own + max(volume, int(np.ceil((prices * counts).sum() / most - 1e-6)))
 
 
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The plan of each profile, pickled; profiles are solved side by side."""
+    for batch in batches:
+        rows = batch.to_pylist()
+        made = [pickle.dumps(make_plan(np.array(r["lengths"], np.int64), np.array(r["counts"], np.int64), r["capacity"], r["separator"])[0]) for r in rows]
+        yield pa.record_batch([batch.column("profile"), pa.array(made, pa.binary())], ["profile", "plan"])
+
+
 def _assign(plans: dict[str, Plan]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,11 +254,12 @@ def pack(sizes: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     items = pieces.where("n_tokens > 0").withColumn("kind", F.ceil((F.col("n_tokens") + F.col("separator")) / F.col("step")).cast("int"))
     counted = items.groupBy("profile", "n_tokens").agg(F.count("*").alias("n")).collect()  # at most the capacities' sum of rows
-    plans, facts, total = {}, [], 0
+    histograms = {p: sorted((r[1], r[2]) for r in counted if r[0] == p) for p, _, _ in wanted}
+    tasks = [(p, c, s, [x[0] for x in histograms[p]], [x[1] for x in histograms[p]]) for p, c, s in wanted]
+    solved = spark.createDataFrame(tasks, "profile string, capacity int, separator int, lengths array<bigint>, counts array<bigint>").repartitionByRange(max(len(tasks), 1), "profile")
+    plans, facts, total = {r.profile: pickle.loads(r.plan) for r in solved.mapInArrow(_solve, "profile string, plan binary").collect()}, [], 0
     for profile, capacity, separator in wanted:
-        own = sorted((r[1], r[2]) for r in counted if r[0] == profile)
-        lengths, number = np.array([x[0] for x in own], np.int64), np.array([x[1] for x in own], np.int64)
-        plans[profile], _ = make_plan(lengths, number, capacity, separator)
+        lengths, number = (np.array([x[i] for x in histograms[profile]], np.int64) for i in (0, 1))
         k, tokens = plans[profile].containers, int((lengths * number).sum())
         held = tokens + separator * (int(number.sum()) - k)
         facts.append((profile, int(number.sum()), tokens, k, plans[profile].from_program, plans[profile].bound, round(held / (k * capacity), 6) if k else None))
