@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusops.functions import answers as A
 from corpusops.functions import code as P
+from corpusops.functions.stem import stems
 from corpusops.operators import metrics as M
 from corpusops.operators import runs as R
 from corpusops.plans.registry import query
@@ -91,7 +92,12 @@ def jsonl_roundtrip(spark, t):
     return jsonl.read_log(spark, path, "generation_id bigint, example_id int, generated_text string")
 
 
-_PAIR = "string_split(trim(regexp_replace(lower(coalesce(target, '')), '[^a-z0-9]+', ' ', 'g')), ' ')"
+def _words_sql(c: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+
+
+_PAIRS = f"""p AS (SELECT source, source_index, arg_max_null(target, row_id) AS target FROM prepared_rows GROUP BY ALL),
+x AS (SELECT final_id, {_words_sql('f.target')} AS r, {_words_sql("regexp_replace(p.target, '[aeiou]t', '', 'g')")} AS h FROM final_rows f JOIN p USING (source, source_index))"""
 
 
 def _pairs(t):
@@ -101,16 +107,41 @@ def _pairs(t):
     return f.join(p, ["source", "source_index"]).select("final_id", "r", words(F.regexp_replace("target", "[aeiou]t", "")).alias("h"))
 
 
-@query()
+@query(f"""WITH {_PAIRS}, o AS (SELECT unnest(range(1, 5)) AS n),
+hg AS (SELECT final_id, n, g, count(*) AS m FROM (SELECT final_id, n, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i:i+n-1], ' '))) AS g FROM x, o WHERE len(h) >= n) GROUP BY ALL),
+rg AS (SELECT final_id, n, g, count(*) AS m FROM (SELECT final_id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i+n-1], ' '))) AS g FROM x, o WHERE len(r) >= n) GROUP BY ALL),
+s AS (SELECT n, sum(least(hg.m, coalesce(rg.m, 0))) AS hit, sum(hg.m) AS total FROM hg LEFT JOIN rg USING (final_id, n, g) GROUP BY n), l AS (SELECT sum(len(h)) AS h, sum(len(r)) AS r FROM x), b AS (SELECT CASE WHEN h >= r THEN 1.0 ELSE exp(1 - r / h) END AS brevity FROM l)
+SELECT round(CASE WHEN (SELECT min(hit) FROM s) > 0 THEN 100 * brevity * (SELECT exp(avg(ln(hit / total))) FROM s) ELSE 0.0 END, 4) AS bleu, round(brevity, 6) AS brevity FROM b""")
 def corpus_bleu(spark, t):
     return M.corpus_bleu(_pairs(t), "final_id", "h", "r").select(F.round("bleu", 4).alias("bleu"), F.round("brevity", 6).alias("brevity"))
 
 
+def _rouge(p):
+    one, two = (M.rouge_n(p, "final_id", "h", "r", n).withColumnRenamed("f1", f"rouge{n}") for n in (1, 2))
+    return p.select("final_id", M.rouge_l(F.col("h"), F.col("r")).alias("rougeL")).join(one, "final_id").join(two, "final_id")
+
+
+@query(f"""WITH {_PAIRS}, hg AS (SELECT final_id, g, count(*) AS m FROM (SELECT final_id, unnest(h) AS g FROM x) GROUP BY ALL), rg AS (SELECT final_id, g, count(*) AS m FROM (SELECT final_id, unnest(r) AS g FROM x) GROUP BY ALL),
+s AS (SELECT final_id, sum(least(hg.m, rg.m)) AS hit FROM hg JOIN rg USING (final_id, g) GROUP BY final_id)
+SELECT final_id, round(CASE WHEN len(h) + len(r) > 0 THEN 200.0 * coalesce(hit, 0) / (len(h) + len(r)) ELSE 0.0 END, 6) AS rouge1 FROM x LEFT JOIN s USING (final_id)""")
+def rouge_unstemmed(spark, t):
+    """ROUGE-1 of the words as they stand, which SQL can repeat."""
+    return M.rouge_n(_pairs(t), "final_id", "h", "r", 1).select("final_id", F.round("f1", 6).alias("rouge1"))
+
+
 @query()
 def rouge_scores(spark, t):
-    p = _pairs(t)
-    one, two = (M.rouge_n(p, "final_id", "h", "r", n).withColumnRenamed("f1", f"rouge{n}") for n in (1, 2))
-    return p.select("final_id", F.round(M.rouge_l(F.col("h"), F.col("r")), 6).alias("rougeL")).join(one, "final_id").join(two, "final_id").select("final_id", F.round("rouge1", 6).alias("rouge1"), F.round("rouge2", 6).alias("rouge2"), "rougeL")
+    """ROUGE-1, -2 and -L of stemmed words."""
+    scored = _rouge(_pairs(t).select("final_id", stems("h").alias("h"), stems("r").alias("r")))
+    return scored.select("final_id", *(F.round(c, 6).alias(c) for c in ("rouge1", "rouge2", "rougeL")))
+
+
+@query()
+def rouge_summary(spark, t):
+    """Mean, deviation and standard error of the scores over all pairs."""
+    scored = _rouge(_pairs(t).select("final_id", stems("h").alias("h"), stems("r").alias("r")))
+    long = scored.select(F.explode(F.array(*(F.struct(F.lit(c).alias("score"), F.col(c).alias("x")) for c in ("rouge1", "rouge2", "rougeL")))).alias("s")).select("s.*")
+    return long.groupBy("score").agg(F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.stddev_pop("x") / F.sqrt(F.count("*")), 6).alias("sem"))
 
 
 @query("WITH c AS (SELECT final_id, x, count(*) AS m FROM (SELECT final_id, unnest(input_ids) AS x FROM final_rows) GROUP BY ALL), p AS (SELECT final_id, m / sum(m) OVER (PARTITION BY final_id) AS p FROM c) SELECT final_id, round(sum(-p * ln(p + 1e-10)), 6) AS entropy FROM p GROUP BY final_id")

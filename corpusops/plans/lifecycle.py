@@ -10,6 +10,7 @@ from corpusops.functions import code as P
 from corpusops.functions import text as T
 from corpusops.operators import curate as U
 from corpusops.operators import runs as R
+from corpusops.operators import similarity as S
 from corpusops.plans.registry import query
 
 
@@ -149,10 +150,17 @@ def code_corpus_pipeline(spark, t):
 
 @query()
 def metadata_document(spark, t):
-    """One JSON document of counts and settings with a fingerprint of both."""
-    counts = t("prepared_rows").groupBy(F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("filter_reason") == "").alias("accepted"))
-    facts = counts.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("source", "n", "accepted"))).alias("sources"), F.lit(0.90).alias("split_coverage"), F.lit(0.85).alias("benchmark_coverage"))).alias("document"))
-    return facts.select("document", F.sha2("document", 256).alias("fingerprint"))
+    """One JSON document of a curated corpus: counts by source and reason, composition and sizes of each split, thresholds, seeds, and fingerprints of the settings and of all of it."""
+    p = t("prepared_rows").withColumn("source", F.lower(F.trim("source")))
+    lists = lambda df, name: df.agg(F.array_sort(F.collect_list(F.struct(*df.columns))).alias(name))  # noqa: E731  (a row for each source, reason or split)
+    sources = lists(p.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("filter_reason") == "").alias("accepted"), F.countDistinct("question_key").alias("questions"), F.countDistinct("source_question_key").alias("source_questions")), "sources")
+    reasons = lists(p.where("filter_reason <> ''").groupBy("filter_reason").agg(F.count("*").alias("n")), "reasons")
+    f = t("final_rows").withColumn("tokens", F.size("condition_input_ids") + F.size("input_ids"))
+    outputs = lists(f.groupBy("split", F.lower(F.trim("source")).alias("source")).agg(F.count("*").alias("n"), F.countDistinct("problem_group_id").alias("groups"), F.sum("tokens").alias("tokens")), "outputs")
+    settings = F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in {"benchmark_coverage": 0.85, "eight_gram": S.EIGHT, "five_gram": S.FIVE, "split_coverage": 0.90, "validation_fraction": 0.10, "validation_seed": "7"}.items())))
+    whole = sources.join(F.broadcast(reasons)).join(F.broadcast(outputs)).withColumn("settings", settings)  # one row each
+    document = whole.select(F.to_json(F.struct("settings", "sources", "reasons", "outputs")).alias("document"), F.sha2("settings", 256).alias("settings_fingerprint"))
+    return document.withColumn("fingerprint", F.sha2("document", 256))
 
 
 @query("SELECT field FROM (SELECT unnest(['dims', 'rows']) AS field, unnest([64, 1]) AS expected, unnest([max(len(embedding)), count(*)]) AS found FROM embeddings) WHERE expected <> found")

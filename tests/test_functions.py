@@ -130,3 +130,11 @@ def test_code(spark):
     assert [r[0] for r in d.select(P.entry_point(F.col("a"), F.col("b"))).collect()] == ["f", None, None]
     assert [r[0].changed for r in d.select(P.with_alias(F.col("a"), F.lit("solution"))).collect()] == [1, 1, 0]
     assert one(spark, ["import os\nx = [y for y in z]", "bad ("], P.module_bindings) == [["os", "x"], []]
+
+
+def test_stems_of_the_publication():
+    from corpusops.functions.stem import stem
+
+    pairs = "caresses:caress ponies:poni cats:cat agreed:agre plastered:plaster motoring:motor hopping:hop falling:fall filing:file happy:happi sky:sky relational:relat conditional:condit vietnamization:vietnam digitizer:digit operator:oper feudalism:feudal hopefulness:hope formality:formal triplicate:triplic electrical:electr goodness:good revival:reviv allowance:allow adjustment:adjust adoption:adopt effective:effect probate:probat rate:rate cease:ceas controlling:control rolling:roll the:the"
+    for word, want in (p.split(":") for p in pairs.split()):
+        assert stem(word) == want, word
