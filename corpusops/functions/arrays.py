@@ -149,3 +149,10 @@ def masked_mean(values: Column, mask: Column) -> Column:
     n = F.aggregate(mask, F.lit(0.0), lambda s, x: s + x)
     held = total(F.zip_with(values, mask, lambda x, m: x * m))
     return F.struct((held / F.greatest(n, F.lit(1.0))).alias("mean"), (n / F.greatest(F.size(mask), F.lit(1))).alias("valid"))
+
+
+def chat_positions(prefix: int, condition: Column, bridge: int, ids: Column) -> Column:
+    """Where, counted from 0, the ids of condition and response stand in prefix + condition + bridge + response + suffix."""
+    n = F.size(condition)
+    run = lambda start, size: F.when(size > 0, F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: start + i - 1)).otherwise(F.array().cast("array<int>"))
+    return F.struct(run(F.lit(prefix), n).alias("condition"), run(n + prefix + bridge, F.size(ids)).alias("response"))

@@ -149,6 +149,31 @@ def sample_keys(df: DataFrame, strata: list[str], key: str, fraction: float, see
     return ranked.join(sizes, strata).where(F.col("rank") < F.floor(F.col("n") * fraction + 0.5)).select(*strata, "key")
 
 
+def require_sample(chosen: DataFrame, whole: DataFrame) -> DataFrame:
+    """The chosen keys; raises ValueError when they are none or all."""
+    n, m = chosen.count(), whole.count()
+    if n == 0 or n >= m:
+        raise ValueError(f"a sample of {n} keys of {m} splits nothing")
+    return chosen
+
+
+def fixed_subset(df: DataFrame, size: int, seed: str, key: str, order: list[str]) -> DataFrame:
+    """``size`` rows by the order of a seeded hash of their key; raises ValueError when there are fewer. The feature is a top-k."""
+    picked = df.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), *order).limit(size)
+    if picked.count() < size:
+        raise ValueError(f"fewer than {size} rows to choose from")
+    return picked
+
+
+def require_release(df: DataFrame, rows: int, id_col: str, prefix: str, required: list[str]) -> DataFrame:
+    """The table itself; raises ValueError unless it has the number of rows, unique ids with the prefix, and no null in a required column."""
+    require_columns(df, [id_col, *required])
+    n, ids, named, whole = df.agg(F.count("*"), F.countDistinct(id_col), F.count_if(F.col(id_col).startswith(prefix)), F.count_if(F.forall(F.array(*(F.col(c).isNotNull() for c in required)), lambda x: x))).first()
+    if (n, ids, named, whole) != (rows,) * 4:
+        raise ValueError(f"{n} rows, {ids} ids, {named} of them with the prefix, {whole} rows complete; {rows} of each expected")
+    return df
+
+
 def split_by_group(df: DataFrame, group: str, chosen: DataFrame) -> DataFrame:
     """Adds split: 'validation' for the rows of chosen groups, else 'train'."""
     marked = chosen.select(F.col(group)).distinct().withColumn("__in", F.lit(True))

@@ -31,3 +31,18 @@ def manifest_mismatches(expected: dict, found: dict, ignored: tuple[str, ...] =
     base = defaults or {}
     fields = sorted((set(expected) | set(found) | set(base)) - set(ignored))
     return [f for f in fields if expected.get(f, base.get(f)) != found.get(f, base.get(f))]
+
+
+def require_sequence(df: DataFrame, groups: list[str], position: str) -> DataFrame:
+    """The table itself; raises ValueError unless the positions of each group are 0, 1, 2 and so on, each once."""
+    n, ids, most = F.count("*"), F.countDistinct(position), F.max(position) + 1
+    bad = df.groupBy(*groups).agg(n.alias("n"), ids.alias("ids"), most.alias("most"), F.min(position).alias("least")).where("n <> ids or n <> most or least <> 0")
+    if not bad.isEmpty():
+        raise ValueError(f"positions with gaps or repeats: {bad.first()}")
+    return df
+
+
+def require_aligned(df: DataFrame, left: str, right: str) -> DataFrame:
+    """The rows; one whose two lengths differ raises an error when it is read."""
+    same = F.col(left).eqNullSafe(F.col(right))
+    return df.withColumn(left, F.when(same, F.col(left)).otherwise(F.raise_error(F.lit("rows are not aligned")).cast(df.schema[left].dataType)))

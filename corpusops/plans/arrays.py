@@ -8,12 +8,13 @@ from corpusops.functions import arrays as K
 from corpusops.functions import schedules as S
 from corpusops.plans.registry import query
 
-@query("SELECT final_id, CASE WHEN len(condition_input_ids) > 256 THEN 'input_too_long' WHEN len(condition_input_ids) + len(input_ids) > 1024 THEN 'sequence_too_long' ELSE '' END AS grade_school, CASE WHEN len(condition_input_ids) > 96 THEN 'input_too_long' WHEN len(input_ids) > 64 THEN 'response_too_long' WHEN len(condition_input_ids) + len(input_ids) > 150 THEN 'sequence_too_long' ELSE '' END AS competition FROM final_rows")
+@query("SELECT final_id, CASE WHEN len(condition_input_ids) > 256 THEN 'input_too_long' WHEN len(condition_input_ids) + len(input_ids) > 1024 THEN 'sequence_too_long' ELSE '' END AS grade_school, CASE WHEN len(condition_input_ids) > 96 THEN 'input_too_long' WHEN len(input_ids) > 64 THEN 'response_too_long' WHEN len(condition_input_ids) + len(input_ids) > 150 THEN 'sequence_too_long' ELSE '' END AS competition, CASE WHEN len(condition_input_ids) > 512 THEN 'input_too_long' WHEN len(condition_input_ids) + len(input_ids) > 1024 THEN 'sequence_too_long' ELSE '' END AS code FROM final_rows")
 def length_filters(spark, t):
     a, b = F.size(F.col("condition_input_ids")), F.size(F.col("input_ids"))
     school = F.when(a > 256, "input_too_long").when(a + b > 1024, "sequence_too_long").otherwise("")
     competition = F.when(a > 96, "input_too_long").when(b > 64, "response_too_long").when(a + b > 150, "sequence_too_long").otherwise("")
-    return t("final_rows").select("final_id", school.alias("grade_school"), competition.alias("competition"))
+    code = F.when(a > 512, "input_too_long").when(a + b > 1024, "sequence_too_long").otherwise("")
+    return t("final_rows").select("final_id", school.alias("grade_school"), competition.alias("competition"), code.alias("code"))
 
 
 @query("SELECT final_id, condition_input_ids[1:80] AS prompt_ids, len(condition_input_ids) > 80 AS prompt_truncated, list_concat(input_ids, list_transform(range(64), lambda x: 0))[1:64] AS padded, CAST(least(len(input_ids) + least(len(condition_input_ids), 80), 128) AS INT) AS effective FROM final_rows")

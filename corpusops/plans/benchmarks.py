@@ -14,6 +14,7 @@ from corpusops.functions import text as T
 from corpusops.functions.tokens import pair_tokens, token_count
 from corpusops.operators import curate as U
 from corpusops.operators import metrics as M
+from corpusops.operators import runs as R
 from corpusops.plans.registry import nfkc_sql, query
 from corpusops.runtime import ensure_checkpoint_dir
 from corpusops.sources import jsonl
@@ -253,15 +254,16 @@ def strict_log(spark, t):
     return jsonl.read_strict(spark, path, {"generation_id": "bigint", "example_id": "bigint", "generated_text": "string", "eos_emitted": "boolean"}).select("generation_id", F.col("example_id").cast("int").alias("example_id"))
 
 
-@query(rf"WITH a AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower({nfkc_sql('question')}), '[a-z0-9]+(?:\.[0-9]+)?'), ' ') AS k, item_id FROM eval_items), p AS (SELECT DISTINCT question_key AS k FROM prepared_rows WHERE question_key <> '') SELECT k AS question_key, min(item_id) AS item_id FROM p JOIN a USING (k) GROUP BY k")
+_WORD_SETS = rf"SELECT item_id, suite, list_distinct(regexp_extract_all(lower({nfkc_sql('question')}), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM eval_items"
+
+
+@query(f"WITH g AS ({_WORD_SETS}) SELECT a.item_id AS candidate, b.item_id AS reference, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM g a JOIN g b ON a.suite = 'grade_school' AND b.suite = 'competition' WHERE len(list_intersect(a.w, b.w)) >= 0.25 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def exhaustive_contamination(spark, t):
-    """Candidates against all benchmark items one by one, for at most PAIR_LIMIT pairs; here the equal ones."""
-    refs = t("eval_items").select("item_id", T.question_key(F.col("question")).alias("k"))
-    near = t("prepared_rows").where("question_key <> ''").select("question_key").distinct()
-    # the mode is for small tables: candidates that share no first word with an item cannot be equal to one
-    heads = refs.select(F.substring_index("k", " ", 8).alias("h")).distinct()
-    few = near.withColumn("h", F.substring_index("question_key", " ", 8)).join(heads, "h", "left_semi").select("question_key")
-    return U.exhaustive_pairs(few, refs, F.col("question_key") == F.col("k")).groupBy("question_key").agg(F.min("item_id").alias("item_id"))
+    """Candidates against references one by one, for at most PAIR_LIMIT pairs: the grade-school items against the competition items of the fixed benchmark."""
+    g = t("eval_items").select("item_id", "suite", F.array_distinct(T.key_words(F.col("question"))).alias("w"))
+    a, b = (g.where(F.col("suite") == s).select(F.col("item_id").alias(n), F.col("w").alias(c)) for s, n, c in (("grade_school", "candidate", "x"), ("competition", "reference", "y")))
+    both = U.exhaustive_pairs(a, b, F.lit(True)).withColumn("j", T.jaccard(F.col("x"), F.col("y"))).where("j >= 0.25")
+    return both.select("candidate", "reference", F.round("j", 6).alias("jaccard"))
 
 
 @query("SELECT row_id, source, row_number() OVER (ORDER BY source, source_index, row_id) - 1 AS position FROM prepared_rows WHERE filter_reason = '' AND source IS NOT NULL")
@@ -279,3 +281,87 @@ def prepared_corpora(spark, t):
     a = t("prepared_rows").where(F.lower(F.trim("source")).startswith("metamath")).select(*form(F.lower(F.trim("source")), T.question_of(F.col("input")), F.col("target"), F.when(F.col("filter_reason") == "", F.lit("ok"))))
     b = t("eval_items").where("suite <> 'code'").select(*form(F.lit("benchmark"), F.col("question"), F.col("solution"), F.col("answer")))
     return a.unionByName(b).groupBy("corpus").agg(F.count("*").alias("n"), F.count("answer").alias("accepted"))
+
+
+@query()
+def code_ast_lookup(spark, t):
+    """Code rows whose program has the syntax tree of a benchmark solution, with the least item."""
+    digest = lambda c: F.nullif(F.md5(P.canonical_ast(c)), F.md5(F.lit("")))
+    refs = t("eval_items").where("suite = 'code'").select("item_id", digest(F.col("solution")).alias("tree")).where("tree is not null")
+    rows = t("code_rows").select("id", digest(P.unfenced(F.col("output"))).alias("tree")).where("tree is not null")
+    return rows.join(refs, "tree").groupBy("id").agg(F.min("item_id").alias("item_id"))
+
+
+@query()
+def syntax_rates(spark, t):
+    """Shares of programs that parse as they stand and after the cleaner, and of those that it changed."""
+    rows = t("code_rows").where("output is not null").select("output", P.unfenced(F.col("output")).alias("code"), P.transformer("sanitize")(F.col("output"), F.lit("")).alias("r"))
+    parses = lambda c: F.round(F.avg((P.canonical_ast(c) != "").cast("int")), 6)
+    return rows.agg(F.count("*").alias("n"), parses(F.col("output")).alias("as_is"), parses(F.col("code")).alias("unfenced"), parses(F.col("r.code")).alias("cleaned"), F.round(F.avg((F.col("r.code") != F.col("output")).cast("int")), 6).alias("changed"))
+
+
+@query("SELECT f.final_id, g.n IS NOT DISTINCT FROM len(f.input_ids) AS aligned FROM final_rows f LEFT JOIN (SELECT split, row_index, len(input_ids) + CAST(row_index % 10 = 0 AS INT) AS n FROM final_rows WHERE row_index % 7 <> 0) g ON f.split = g.split AND f.row_index = g.row_index")
+def cache_alignment(spark, t):
+    """Rows beside a cache in which a seventh of them is missing and a tenth has another length: the check by row that require_aligned asserts."""
+    f = t("final_rows").select("split", "row_index", "final_id", F.size("input_ids").alias("n"))
+    cache = f.where("row_index % 7 <> 0").select("split", "row_index", (F.col("n") + (F.col("row_index") % 10 == 0).cast("int")).alias("m"))
+    return f.join(cache, ["split", "row_index"], "left").select("final_id", F.col("n").eqNullSafe(F.col("m")).alias("aligned"))
+
+
+@query("SELECT final_id, list_transform(range(0, len(condition_input_ids)), lambda i: CAST(2 + i AS INT)) AS condition, list_transform(range(0, len(input_ids)), lambda i: CAST(3 + len(condition_input_ids) + i AS INT)) AS response FROM final_rows")
+def chat_positions(spark, t):
+    r = K.chat_positions(2, F.col("condition_input_ids"), 1, F.col("input_ids"))
+    return t("final_rows").select("final_id", r.alias("r")).select("final_id", "r.condition", "r.response")
+
+
+@query("WITH c AS (SELECT x, count(*) AS n FROM (SELECT unnest(input_ids) AS x FROM final_rows) GROUP BY x), bad AS (SELECT x FROM c WHERE n < 3) SELECT final_id, count(*) AS incompatible FROM (SELECT final_id, unnest(input_ids) AS x FROM final_rows) JOIN bad USING (x) GROUP BY final_id")
+def incompatible_ids(spark, t):
+    """Rows that hold ids which another vocabulary does not share; here the ids that occur less than three times."""
+    x = t("final_rows").select("final_id", F.explode("input_ids").alias("x"))
+    bad = x.groupBy("x").agg(F.count("*").alias("n")).where("n < 3").select("x")
+    return x.join(bad, "x").groupBy("final_id").agg(F.count("*").alias("incompatible"))
+
+
+@query("SELECT question_key AS key FROM prepared_rows WHERE question_key <> '' UNION SELECT source_question_key FROM prepared_rows WHERE source_question_key <> ''")
+def key_union(spark, t):
+    p = t("prepared_rows")
+    return p.select(F.col("question_key").alias("key")).union(p.select("source_question_key")).where("key <> ''").distinct()
+
+
+@query("SELECT run_id, seed_no, round(100.0 * avg(CAST(coalesce(strict_correct, false) AS INT)), 9) AS base, round(100.0 * avg(CAST(coalesce(strict_correct, false) AND coalesce(strict_final_answer = trim(gold_answer), false) AS INT)), 9) AS plus FROM generations GROUP BY ALL")
+def outcome_rates(spark, t):
+    """Pass rates of both levels from outcomes in words; an unknown outcome, a plus without its base, or a rate that a second way of counting does not confirm fails the query."""
+    right = F.coalesce("strict_correct", F.lit(False))
+    words = t("generations").select("run_id", "seed_no", F.when(right, "pass").otherwise("fail").alias("base"), F.when(right & F.coalesce(F.col("strict_final_answer") == F.trim("gold_answer"), F.lit(False)), "pass").otherwise("fail").alias("plus"))
+    known = F.col("base").isin("pass", "fail") & F.col("plus").isin("pass", "fail") & ((F.col("plus") == "fail") | (F.col("base") == "pass"))
+    checked = words.withColumn("base", F.when(known, F.col("base")).otherwise(F.raise_error(F.lit("unknown outcome")).cast("string")))
+    share = lambda c: 100 * F.avg((F.col(c) == "pass").cast("int"))
+    again = lambda c: 100.0 * F.count_if(F.col(c) == "pass") / F.count("*")
+    rates = checked.groupBy("run_id", "seed_no").agg(*(f(c).alias(f"{n}{c}") for c in ("base", "plus") for n, f in (("", share), ("second_", again))))
+    sure = lambda c: F.when(F.abs(F.col(c) - F.col(f"second_{c}")) <= 1e-12 * 100, F.round(c, 9)).otherwise(F.raise_error(F.lit("rates differ")).cast("double"))
+    return rates.select("run_id", "seed_no", sure("base").alias("base"), sure("plus").alias("plus"))
+
+
+@query("SELECT run_id, seed_no, count(*) AS rows FROM (SELECT DISTINCT run_id, seed_no, example_id FROM generations) GROUP BY ALL HAVING count(*) = max(example_id) + 1 AND min(example_id) = 0")
+def complete_merges(spark, t):
+    """Runs whose merged shards hold the ids 0, 1, 2 and so on without a gap; the merge of exactly these passes require_sequence."""
+    once = t("generations").select("run_id", "seed_no", "example_id").distinct()
+    whole = once.groupBy("run_id", "seed_no").agg(F.count("*").alias("rows"), F.max("example_id").alias("last"), F.min("example_id").alias("first")).where("rows = last + 1 and first = 0")
+    R.require_sequence(once.join(whole, ["run_id", "seed_no"], "left_semi"), ["run_id", "seed_no"], "example_id")
+    return whole.select("run_id", "seed_no", "rows")
+
+
+@query("SELECT collection_id AS path, min(doc_id) AS first_seen, bool_and(collected_at IS NOT NULL) AS complete FROM documents WHERE collection_id IS NOT NULL GROUP BY 1")
+def staging_completeness(spark, t):
+    """Referenced folders by first mention, and whether all that they hold has arrived."""
+    d = t("documents").where("collection_id is not null").groupBy(F.col("collection_id").alias("path"))
+    return d.agg(F.min("doc_id").alias("first_seen"), F.bool_and(F.col("collected_at").isNotNull()).alias("complete"))
+
+
+@query("SELECT item_id FROM eval_items WHERE suite = 'code'")
+def validated_release(spark, t):
+    """The code tasks as a release: their number, unique ids with their prefix and complete columns are checked before a row is read."""
+    tasks = t("eval_items").where("suite = 'code'")
+    prefix = tasks.agg(F.min("task_id")).first()[0] or ""
+    common = prefix[: next((i for i, c in enumerate(prefix) if not c.isalpha()), len(prefix))]
+    return U.require_release(tasks, tasks.count(), "task_id", common, ["question", "solution"]).select("item_id")

@@ -313,7 +313,7 @@ def split_leakage_check(spark, t):
 @query("SELECT final_id FROM (SELECT final_id, row_number() OVER (ORDER BY md5('5' || problem_group_id), final_id) AS rn FROM (SELECT problem_group_id, min(final_id) AS final_id FROM final_rows WHERE split = 'validation' AND problem_group_id IS NOT NULL GROUP BY 1)) WHERE rn <= 64")
 def validation_subset(spark, t):
     one = U.keep_first(t("final_rows").where("split = 'validation'"), ["problem_group_id"], ["final_id"])
-    return one.orderBy(F.md5(F.concat(F.lit("5"), "problem_group_id")), "final_id").limit(64).select("final_id")
+    return U.fixed_subset(one, min(64, one.count()), "5", "problem_group_id", ["final_id"]).select("final_id")
 
 
 @query("""

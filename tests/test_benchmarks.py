@@ -11,6 +11,7 @@ from corpusops.functions import code as P
 from corpusops.functions import settings as C
 from corpusops.functions.tokens import encoding, token_count
 from corpusops.operators import curate as U
+from corpusops.operators import runs as R
 from corpusops.operators.ranking import ordered_index
 from corpusops.sources import jsonl
 from tests.conftest import rows
@@ -139,3 +140,26 @@ def test_token_counts(spark):
     texts = ["", None, "a b", "ж" * 50, "<|endoftext|>"]
     want = [None if t is None else len(encoding().encode_ordinary(t)) for t in texts]
     assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(token_count(F.col("t"))).collect()] == want
+
+
+def test_checks_raise(spark):
+    d = spark.createDataFrame([("T/1", "x"), ("T/2", "y")], "task string, v string")
+    assert U.require_release(d, 2, "task", "T/", ["v"]).count() == 2
+    for bad in (lambda: U.require_release(d, 3, "task", "T/", ["v"]), lambda: U.require_release(d, 2, "task", "U/", ["v"]), lambda: U.require_release(d.union(d), 4, "task", "T/", ["v"]),
+                lambda: U.fixed_subset(d, 3, "1", "task", ["task"]), lambda: U.require_sample(d.limit(0), d), lambda: U.require_sample(d, d)):
+        with pytest.raises(ValueError):
+            bad()
+    assert U.fixed_subset(d, 1, "1", "task", ["task"]).count() == 1 and U.require_sample(d.limit(1), d).count() == 1
+    s = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "g string, i int")
+    assert R.require_sequence(s, ["g"], "i").count() == 3
+    for more in ([("a", 3)], [("b", 0)], [("c", 1)]):
+        with pytest.raises(ValueError):
+            R.require_sequence(s.union(spark.createDataFrame(more, "g string, i int")), ["g"], "i")
+    with pytest.raises(Exception, match="aligned"):
+        R.require_aligned(spark.createDataFrame([(1, 1), (2, 3)], "a int, b int"), "a", "b").collect()
+
+
+def test_chat_positions(spark):
+    d = spark.createDataFrame([([5, 6], [7]), ([], [8, 9])], "c array<int>, r array<int>")
+    got = d.select(K.chat_positions(2, F.col("c"), 1, F.col("r")).alias("x")).select("x.*").collect()
+    assert [tuple(r) for r in got] == [([2, 3], [5]), ([], [3, 4])]
