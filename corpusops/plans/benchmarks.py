@@ -257,12 +257,12 @@ def strict_log(spark, t):
 _WORD_SETS = rf"SELECT item_id, suite, list_distinct(regexp_extract_all(lower({nfkc_sql('question')}), '[a-z0-9]+(?:\.[0-9]+)?')) AS w FROM eval_items"
 
 
-@query(f"WITH g AS ({_WORD_SETS}) SELECT a.item_id AS candidate, b.item_id AS reference, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM g a JOIN g b ON a.suite = 'grade_school' AND b.suite = 'competition' WHERE len(list_intersect(a.w, b.w)) >= 0.25 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
+@query(f"WITH g AS ({_WORD_SETS}) SELECT a.item_id AS candidate, b.item_id AS reference, round(len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM g a JOIN g b ON a.suite = 'grade_school' AND b.suite = 'competition' WHERE len(list_intersect(a.w, b.w)) >= 0.1 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))")
 def exhaustive_contamination(spark, t):
     """Candidates against references one by one, for at most PAIR_LIMIT pairs: the grade-school items against the competition items of the fixed benchmark."""
     g = t("eval_items").select("item_id", "suite", F.array_distinct(T.key_words(F.col("question"))).alias("w"))
     a, b = (g.where(F.col("suite") == s).select(F.col("item_id").alias(n), F.col("w").alias(c)) for s, n, c in (("grade_school", "candidate", "x"), ("competition", "reference", "y")))
-    both = U.exhaustive_pairs(a, b, F.lit(True)).withColumn("j", T.jaccard(F.col("x"), F.col("y"))).where("j >= 0.25")
+    both = U.exhaustive_pairs(a, b, F.lit(True)).withColumn("j", T.jaccard(F.col("x"), F.col("y"))).where("j >= 0.1")
     return both.select("candidate", "reference", F.round("j", 6).alias("jaccard"))
 
 

@@ -330,7 +330,7 @@ def stride_shards(spark, t):
     return t("events").where(F.floor(F.col("event_id") / 4) >= 10).select("event_id", F.pmod("event_id", F.lit(4)).cast("int").alias("rank"), F.floor(F.col("event_id") / 4).alias("position"))
 
 
-@query("SELECT e.vec_id, s.shard, e.vec_id - s.row_start AS offset_in_shard FROM embeddings e JOIN (SELECT b AS shard, b * 37 AS row_start, (b + 1) * 37 AS row_end FROM (SELECT unnest(range(0, 60)) AS b)) s ON e.vec_id >= s.row_start AND e.vec_id < s.row_end")
+@query("SELECT e.vec_id, s.shard, e.vec_id - s.row_start AS offset_in_shard FROM embeddings e JOIN (SELECT b AS shard, b * 37 AS row_start, (b + 1) * 37 AS row_end FROM (SELECT unnest(range(0, (SELECT CAST(max(vec_id) // 37 + 1 AS BIGINT) FROM embeddings))) AS b)) s ON e.vec_id >= s.row_start AND e.vec_id < s.row_end")
 def shard_range_lookup(spark, t):
     last = t("embeddings").agg(F.max("vec_id")).first()[0]
     shards = spark.range(0 if last is None else last // 37 + 1).select(F.col("id").alias("shard"), (F.col("id") * 37).alias("row_start"), ((F.col("id") + 1) * 37).alias("row_end"))

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusops.functions import arrays as K
-from corpusops.functions import code as P
 from corpusops.functions import text as T
 from corpusops.operators import curate as U
 from corpusops.operators import runs as R
 from corpusops.operators import similarity as S
+from corpusops.plans.benchmarks import code_corpus_tokens
 from corpusops.plans.registry import query
 
 
@@ -138,13 +138,10 @@ def unfinished_rows(spark, t):
 
 @query()
 def code_corpus_pipeline(spark, t):
-    """The code corpus from raw rows to kept rows: metadata, fences and syntax, length, then the first of each task. Counts by stage."""
-    rows = t("code_rows").withColumn("quality", U.quality_reason("llm_judgement", "unit_tests", "tests_execution_status", "average_test_score")).withColumn("code", P.unfenced(F.col("output")))
-    judged = rows.withColumn("syntax", F.when(F.col("quality") == "", P.code_problem(F.when(F.col("quality") == "", F.col("code")), F.col("output"))))
-    reason = U.first_reason(F.nullif("quality", F.lit("")), F.nullif("syntax", F.lit("")), F.when(F.col("input").isNull(), "missing_task"), F.when(F.length("input") + F.length("code") > 2000, "sequence_too_long"))
-    kept = judged.withColumn("reason", reason).withColumn("task", T.match_text(F.col("input")))
-    first = U.keep_first(kept.where("reason = ''").select("task", "id"), ["task"], ["id"]).select("id", F.lit(True).alias("first"))
-    final = kept.join(first, "id", "left").select(F.when(F.col("reason") != "", F.col("reason")).when(F.col("first"), "kept").otherwise("repeated_task").alias("outcome"))
+    """The code corpus from raw rows to kept rows: metadata, fences and syntax, token budgets, then the first of each task. Counts by outcome."""
+    rows = code_corpus_tokens(spark, t).select("id", "reason", T.match_text(F.col("input")).alias("task"))
+    first = U.keep_first(rows.where("reason = ''").select("task", "id"), ["task"], ["id"]).select("id", F.lit(True).alias("first"))
+    final = rows.join(first, "id", "left").select(F.when(F.col("reason") != "", F.col("reason")).when(F.col("first"), "kept").otherwise("repeated_task").alias("outcome"))
     return final.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
