@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import random
 
 import pytest
@@ -112,6 +113,22 @@ def test_minhash_recall_against_the_exact_join(spark):
     assert len(exact) > 20 and len(exact & found) >= 0.98 * len(exact)
 
 
+def test_minhash_pairs_are_whole_and_never_shuffled(spark):
+    """A family of which every two keys pair, cut into blocks; its shuffle files stay in proportion to the keys, not to the 79,800 pairs."""
+    family = [f"a b c d e f g h i j k l m n o p {i}" for i in range(400)]
+    d = spark.createDataFrame([(k,) for k in [*family, family[0], "u v w", "w v u", "alone", "", " ", None]], "k string")
+    want = {tuple(sorted((x, y))) for i, x in enumerate(family) for y in family[i + 1 :]} | {("u v w", "w v u")}
+    shuffled = lambda: set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+    before = shuffled()
+    pairs = S.minhash_candidates(d, "k")
+    assert rows(pairs) == sorted(want, key=str)
+    assert sum(os.path.getsize(f) for f in shuffled() - before) < 10 * sum(map(len, family))
+    for block in (7, 300):
+        assert rows(S.minhash_candidates(d, "k", block=block)) == sorted(want, key=str)
+    with pytest.raises(ValueError):
+        S.minhash_candidates(d, "k", block=1 << 17)
+
+
 def test_contamination_join_is_exact(spark):
     a, b = sorted(set(near_texts(40, 1))), sorted(set(near_texts(40, 1)[::3] + near_texts(10, 2)))
     frame = lambda x: spark.createDataFrame([(k,) for k in x], "k string")
