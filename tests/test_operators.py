@@ -129,6 +129,22 @@ def test_minhash_pairs_are_whole_and_never_shuffled(spark):
         S.minhash_candidates(d, "k", block=1 << 17)
 
 
+def test_minhash_pairs_of_a_bucket_are_written_together(spark, tmp_path):
+    """The result grows with the square of the keys, so its size counts: 30 families of 100 long texts, alike in the middle only, that lie far apart in the order of texts."""
+    random.seed(5)
+    word = lambda: "".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=6))
+    middles = [" ".join(word() for _ in range(40)) for _ in range(30)]
+    texts = [f"{' '.join(word() for _ in range(20))} {m} {' '.join(word() for _ in range(20))}" for m in middles for _ in range(100)]
+    given = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # one block, of more texts than a dictionary of the file holds
+    S.minhash_candidates(spark.createDataFrame([(k,) for k in texts], "k string"), "k").write.parquet(str(tmp_path / "pairs"))
+    spark.conf.set("spark.sql.shuffle.partitions", given)
+    pairs = {tuple(r) for r in spark.read.parquet(str(tmp_path / "pairs")).collect()}
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert len(pairs) == n > 0.95 * 30 * 4950 and all(x < y and x.split()[20:60] == y.split()[20:60] for x, y in pairs)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").rglob("*.parquet")) < 115 * n
+
+
 def test_contamination_join_is_exact(spark):
     a, b = sorted(set(near_texts(40, 1))), sorted(set(near_texts(40, 1)[::3] + near_texts(10, 2)))
     frame = lambda x: spark.createDataFrame([(k,) for k in x], "k string")
